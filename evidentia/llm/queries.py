@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from evidentia.llm import line_dedup, sharding, token_counts
+from evidentia.llm import decontamination, line_dedup, mixing, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
     "op8_sharding": sharding.query,
     "op9_token_counts": token_counts.query,
+    "op10_decontamination": decontamination.query,
+}
+ORACLES = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
 }
-ORACLES = {"op4_line_dedup": line_dedup.ORACLE}
