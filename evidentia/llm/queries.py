@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evidentia.llm import decontamination, line_dedup, mixing, quality_rules, sharding, token_counts
+from evidentia.llm import decontamination, line_dedup, mixing, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op3_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
+    "op6_simhash": simhash.query,
     "op8_sharding": sharding.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
