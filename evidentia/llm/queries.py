@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.llm import decontamination, line_dedup, mixing, quality_rules, sharding, simhash, token_counts
+from evidentia.llm import decontamination, language_id, line_dedup, mixing, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_language_id": language_id.query,
     "op3_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
     "op6_simhash": simhash.query,

@@ -1,0 +1,38 @@
+import zlib
+
+from pyspark.sql import functions as F
+
+from evidentia.llm import language_id
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'")
+    n, right, low = found.agg(F.count(F.lit(1)), F.count_if(F.col("lang") == F.col("lang_pred")), F.min("score")).first()
+    assert n > 100 and right / n > 0.97
+    assert 0 <= low <= 1
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() > 0.97 * docs.count()
+
+
+def test_cases(spark):
+    rows = [(k, ("the cat sat on the mat and the dog " if k % 2 else "der hund und die katze auf dem dach ") * 3, "en" if k % 2 else "de", "x") for k in range(60)]
+    rows += [(100, None, "en", "x"), (101, "", "en", "x"), (102, "123 !?", "de", "x"), (None, "the dog and the mat", None, "x"), (103, "the dog " * 20000, "en", "x"), (103, "the dog " * 20000, "en", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    got = language_id.identify(df).collect()
+    assert len(got) == len(rows)
+    for r, (i, text, _, _) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is None, r[0]))):
+        assert r.held_out == (zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 0)
+        if text is None or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == ("en" if "the" in text else "de")
+    assert {r.doc_id for r in language_id.keep_identified(df).collect()} == {*range(60), None, 103}
+
+
+def test_nothing_to_learn_from_and_empty(spark):
+    df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id.identify(df).collect()] == ["und"]
+    assert language_id.identify(df.limit(0)).count() == 0
