@@ -1,0 +1,65 @@
+import hashlib
+import re
+
+from evidentia.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        odd = d[-1::-2]
+        even = [sum(divmod(2 * x, 10)) for x in d[-2::-2]]
+        if 14 <= len(d) <= 19 and (sum(odd) + sum(even)) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+TEXTS = [
+    "mail a.b@c.de, x@y, a@b.c@d.e _q@r.s a@b.c-d@e.f a@b.c_d@e.f @x.y ß@a.bc",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.2.3 9.9.9.9x 0000255.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 79927398713 4111  1111 1111 1111",
+    "+1 (017) 555-7713 +123 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 +49-30-1234567",
+    "", "   ", "日本 +1 (017) 555-7713 é a@b.co", "a" * 5000 + "@!", "1" * 5000, "1." * 3000, "+1" * 2000,
+]
+
+
+def test_base_matches_plain_patterns():
+    for t in TEXTS:
+        assert pii.base_spans(t) == brute(t), t
+
+
+def test_query_and_added_spans(spark, tmp_path):
+    extra = ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "write to jane(at)mail(dot)com please", "plain words only here", "Dr. Anna Keller came by", None, ""]
+    rows = [(k, t, "x") for k, t in enumerate([*TEXTS, *extra])] + [(None, "a@b.co", "x"), (0, TEXTS[0], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t, _ in rows if i == r.doc_id) or ""
+        base = brute(text)
+        text_form = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(text_form).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.BASE]
+        assert set(text_form) <= set(filter(None, r.spans.split(",")))
+    spans = {r.doc_id: r.spans for r in got}
+    n = len(TEXTS)
+    assert spans[n].startswith("secret:9:49") and spans[n + 1].startswith("email:9:") and spans[n + 2] == "" and spans[n + 3].startswith("name:0:")
+
+
+def test_em_prefers_labelers_that_agree():
+    counts = {("secret", (1, 1, 0, 1, 1, 0)): 900, ("secret", (-1, -1, 0, 0, 0, -1)): 300, ("secret", (-1, 1, 0, 0, 0, 0)): 40}
+    model = pii.SpanModel(counts)
+    assert model.score("secret", (1, 1, 0, 1, 1, 0)) > 0.9 > 0.2 > model.score("secret", (-1, -1, 0, 0, 0, -1))
+    assert all(r >= 0.55 for r in model.kinds["secret"]["right"])
+
+
+def test_empty(spark):
+    assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
