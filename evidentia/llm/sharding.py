@@ -36,41 +36,61 @@ def lpt(items: list[tuple[int, object]], n_shards: int) -> dict[object, int]:
     return placed
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, h1, h2 (the group's identity), shard, slot (gapless from 0 in each shard)."""
-    spark = docs.sparkSession
+def _rows(docs: DataFrame, overhead: int, *more) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     h1, h2 = text_hashes(text)
-    d = docs.select("doc_id", (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h1.alias("h1"), h2.alias("h2"))
-    d = materialize(d, "shard-rows")
-    groups = materialize(d.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")), "shard-groups")
+    size = (F.octet_length(text) + F.lit(overhead)).cast("long")
+    return docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h1.alias("h1"), h2.alias("h2"), *more)
+
+
+def _schedule(rows: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
+    """The shard of each large group, and of each composite group; both bounded by n_shards."""
+    spark = rows.sparkSession
+    groups = materialize(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    n_bins = BINS * n_shards
     large = F.col("bytes") * (LARGE * n_shards) >= F.lit(total)
-    bin_of = F.pmod(F.col("h1"), F.lit(n_bins)).cast("int")
     alone = groups.where(large).select("h1", "h2", "bytes").collect()  # at most LARGE x n_shards rows
-    bound = groups.where(~large).groupBy(bin_of.alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()  # at most n_bins
+    bound = groups.where(~large).groupBy(_bin(n_shards).alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()  # at most BINS x n_shards
     placed = lpt([(r.bytes, (r.h1, r.h2)) for r in alone] + [(r.bytes, r.bin) for r in bound], n_shards)
+    discard(groups)
     own = spark.createDataFrame([(*k, s) for k, s in placed.items() if isinstance(k, tuple)], "h1 long, h2 long, own_shard int")
     bins = spark.createDataFrame([(k, s) for k, s in placed.items() if not isinstance(k, tuple)], "bin int, bin_shard int")
-    discard(groups)
-    d = (
-        d.withColumn("bin", bin_of)
-        .join(F.broadcast(bins), "bin", "left")  # both sides are bounded by n_shards
-        .join(F.broadcast(own), ["h1", "h2"], "left")
-        .select("doc_id", "size", "text_crc32", "h1", "h2", F.coalesce("own_shard", "bin_shard").alias("shard"))
-    )
-    return number_slots(d)
+    return own, bins
+
+
+def _bin(n_shards: int):
+    return F.pmod(F.col("h1"), F.lit(BINS * n_shards)).cast("int")
 
 
-def number_slots(d: DataFrame) -> DataFrame:
+def _with_shard(rows: DataFrame, schedule: tuple[DataFrame, DataFrame], n_shards: int) -> DataFrame:
+    own, bins = schedule
+    rows = rows.withColumn("bin", _bin(n_shards)).join(F.broadcast(bins), "bin", "left").join(F.broadcast(own), ["h1", "h2"], "left")
+    return rows.withColumn("shard", F.coalesce("own_shard", "bin_shard")).withColumn("sub", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(SUBS)).cast("int")).drop("bin", "bin_shard", "own_shard")
+
+
+def _with_slot(rows: DataFrame, skinny: DataFrame) -> DataFrame:
     """Adds slot. Each shard is cut into SUBS parts by hash, so no task numbers a whole shard; the parts' offsets come from their counts."""
-    d = d.withColumn("sub", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(SUBS)).cast("int"))
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    at = d.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n")).select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    at = skinny.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n")).select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("shard", "sub").orderBy(F.col("doc_id").asc_nulls_last(), "h1", "h2"))
-    numbered = d.withColumn("rank", rank)
-    return numbered.join(F.broadcast(at), ["shard", "sub"]).withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("sub", "offset", "rank")
+    numbered = rows.withColumn("rank", rank).join(F.broadcast(at), ["shard", "sub"])  # SUBS rows a shard
+    return numbered.withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("sub", "offset", "rank")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, h1, h2 (the group's identity), shard, slot (gapless from 0 in each shard)."""
+    rows = materialize(_rows(docs, overhead), "shard-rows")
+    rows = _with_shard(rows, _schedule(rows, n_shards), n_shards)
+    return _with_slot(rows, rows)
+
+
+def place(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
+    """docs with all its columns, and shard and slot (columns of these names in docs are replaced)."""
+    skinny = materialize(_rows(docs, overhead), "shard-rows")
+    schedule = _schedule(skinny, n_shards)
+    rows = _with_shard(_rows(docs, overhead, F.struct("*").alias("row")), schedule, n_shards)
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return _with_slot(rows, _with_shard(skinny, schedule, n_shards)).select(*rest, "shard", "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import discard, materialize, mix64, text_hashes
@@ -243,9 +243,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     row = docs.select(F.struct("*").alias("_row"))
     h1, h2 = text_hashes(F.coalesce(F.col("_row.text"), F.lit("")))
     row = row.withColumns({"_a": h1, "_b": h2})
-    same = (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
-    first = F.row_number().over(Window.partitionBy("_a", "_b", F.col("_row.doc_id")).orderBy(F.lit(1)))
-    return row.join(keep, same).withColumn("_n", first).where("_n = 1").select("_row.*")
+    row = row.withColumn("_own", F.col("_row.doc_id")).dropDuplicates(["_a", "_b", "_own"])  # equal rows are combined in the tasks
+    same = (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")) & F.col("_own").eqNullSafe(F.col("_id"))
+    return row.join(keep, same).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
