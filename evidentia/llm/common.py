@@ -10,53 +10,18 @@ Conventions that hold for all operators here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.functions.tables import discard, materialize, shared_dir  # noqa: F401  for the operators here
+
 #: A word, for the contracts that split at ASCII white space. bytes.split() splits at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="evidentia-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    Cuts the lineage: a lost executor costs a reread of files, not a rerun of what made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that no later result reads."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from evidentia.llm.common import chunks_by_bytes
 
 #: White space other than space and newline, with characters that some Unicode versions count as white space.
-ODD = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
+ODD = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 _odd = re.compile(f"[{ODD}]|  |\n | \n|^ | $")
 _safe = re.compile(f"(?<=[^ \n{ODD}]) (?=[^ \n{ODD}])")
 BATCH_BYTES = 1 << 18
