@@ -93,11 +93,15 @@ def terms(c: Column, longer_than: int, stop: list[str]) -> Column:
 
 
 def bigrams(tokens: Column, keep: Callable[[Column, Column], Column] | None = None) -> Column:
-    none = F.array().cast("array<string>")
-    pairs = F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("a"), F.get(tokens, i + 1).alias("b")))
-    if keep is not None:
-        pairs = F.filter(pairs, lambda p: keep(p["a"], p["b"]))
-    return F.when(F.size(tokens) < 2, none).otherwise(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))
+    """Neighbours, joined by a space; keep(a, b) says which."""
+
+    def join(t: Column) -> Column:
+        pairs = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(t, i + 1).alias("b")))
+        if keep is not None:
+            pairs = F.filter(pairs, lambda p: keep(p["a"], p["b"]))
+        return F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
+
+    return let(tokens, join)
 
 
 def index_terms(c: Column) -> Column:
@@ -123,8 +127,7 @@ def not_digits(t: Column) -> Column:
 
 def graph_terms(c: Column) -> Column:
     """T4: the first 18 words that aren't numbers, then the first 12 pairs of neighbours that aren't."""
-    w = graph_words(c)
-    return F.concat(F.slice(F.filter(w, not_digits), 1, 18), F.slice(bigrams(w, lambda a, b: not_digits(a) & not_digits(b)), 1, 12))
+    return let(graph_words(c), lambda w: F.concat(F.slice(F.filter(w, not_digits), 1, 18), F.slice(bigrams(w, lambda a, b: not_digits(a) & not_digits(b)), 1, 12)))
 
 
 def trust_terms(c: Column) -> Column:

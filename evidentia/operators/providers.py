@@ -113,7 +113,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            own = b.column("id").to_numpy()
+            own = b.column("id").to_numpy(zero_copy_only=False)
             v = np.stack([np.asarray(x, float) for x in b.column("embedding").to_pylist()])
             vn = np.linalg.norm(v, axis=1)
             order = np.argsort(own, kind="stable")
