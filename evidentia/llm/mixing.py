@@ -35,7 +35,7 @@ MOST = 2
 BLOCKS = 1024
 #: A source is cut into blocks from so many documents on, and its boundary block into parts from FEW x BLOCKS on.
 FEW = 4096
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1000
 OUTPUT_SHARDS = 16
 
 
