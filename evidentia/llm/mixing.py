@@ -24,6 +24,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ BLOCKS = 1024
 #: A source is cut into blocks from so many documents on, and its boundary block into parts from FEW x BLOCKS on.
 FEW = 4096
 MAX_SOURCES = 1000
+#: A boundary of so few documents and words is filled as near as any choice of documents can.
+SMALL, SMALL_WORDS = 64, 2_000_000
 OUTPUT_SHARDS = 16
 
 
@@ -83,6 +86,59 @@ def _boundary(sums: DataFrame, by: list[str], block: str) -> DataFrame:
     return r.where((F.col("before") <= F.col("need")) & (F.col("after") > F.col("need"))).select(*by, F.col(block).alias("edge"), (F.col("need") - F.col("before")).alias("rest"))
 
 
+def near_subset(words: np.ndarray, rest: int) -> np.ndarray:
+    """Which of the units, in their given random order, to take so that their words come near rest.
+
+    First each that still fits; then single additions and exchanges, as long as one brings the sum nearer.
+    """
+    took, gap = np.zeros(len(words), bool), rest
+    for i, w in enumerate(words.tolist()):
+        if w <= gap:
+            took[i], gap = True, gap - w
+    for _ in range(32):
+        into, out = np.flatnonzero(~took), np.flatnonzero(took & (words > 0))
+        if not gap or not len(into):
+            break
+        order = into[np.argsort(words[into], kind="stable")]
+        gain = words[order]
+        lose = np.concatenate([[0], words[out]])  # nothing, or one unit that is taken
+        at = np.searchsorted(gain, gap + lose)
+        best = min(((abs(int(gap + lose[k] - gain[j])), k, j) for k in range(len(lose)) for j in {max(0, at[k] - 1), min(at[k], len(gain) - 1)}), default=None)
+        if best is None or best[0] >= abs(gap):
+            break
+        _, k, j = best
+        took[order[j]] = True
+        if k:
+            took[out[k - 1]] = False
+        gap = int(gap + lose[k] - gain[j])
+    if gap and len(words) <= SMALL and rest <= SMALL_WORDS:
+        return _nearest_subset(words, rest)
+    return took
+
+
+def _nearest_subset(words: np.ndarray, rest: int) -> np.ndarray:
+    """A subset of few units whose words come nearest to rest: all sums that can be reached, as bits of whole numbers."""
+    top = rest + int(words.max(initial=0))
+    reach = [1]
+    for w in words.tolist():
+        reach.append((reach[-1] | reach[-1] << w) & ((1 << (top + 1)) - 1))
+    below = (reach[-1] & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (rest + 1)
+    goal = below
+    if above and (up := rest + (above & -above).bit_length()) - rest < rest - below:
+        goal = up
+    took = np.zeros(len(words), bool)
+    for i in range(len(words) - 1, -1, -1):
+        if not reach[i] >> goal & 1:
+            took[i], goal = True, goal - int(words[i])
+    return took | (words == 0)
+
+
+def _fill(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("h", kind="stable")
+    return part.loc[near_subset(part["words"].to_numpy(np.int64), int(part["rest"].iloc[0])), ["k", "h"]]
+
+
 def plan_mixture(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, places (array of output shard and order for each copy), h1, h2."""
     spark = docs.sparkSession
@@ -115,12 +171,7 @@ def plan_mixture(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHA
     last = inner.join(F.broadcast(edge2), "k").where(F.col("part") == F.col("edge2"))
     # equal rows have one hash and are taken together; one sub-block of a source at a time
     units = last.groupBy("k", "h").agg(F.sum("size").alias("words"), F.first("rest2").alias("rest"))
-    fits = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("h", "words"))),
-        F.struct(F.max("rest").alias("left"), F.array().cast("array<long>").alias("took")),
-        lambda a, u: F.when(u["words"] <= a["left"], F.struct((a["left"] - u["words"]).alias("left"), F.concat(a["took"], F.array(u["h"])).alias("took"))).otherwise(a),
-    )
-    took = units.groupBy("k").agg(fits["took"].alias("took")).select("k", F.explode("took").alias("h"), F.lit(True).alias("fit"))
+    took = units.groupBy("k").applyInPandas(_fill, "k int, h long").withColumn("fit", F.lit(True))  # one part of a source at a time
     took = materialize(took, "mix-took")
 
     # passes: 0 .. whole-1 take every block; pass `whole` takes the blocks before the edge, and the boundary's part

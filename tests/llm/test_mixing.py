@@ -25,6 +25,25 @@ def test_splitting_tree_is_exact_and_fair():
     assert np.allclose(mean, q / 7, rtol=0.1, atol=0.5)
 
 
+def test_near_subset():
+    r = np.random.default_rng(5)
+    assert mixing.near_subset(np.array([9000, 10, 500, 40]), 520).tolist() == [False, True, True, False]
+    assert mixing.near_subset(np.array([700, 300, 600]), 900).tolist() == [False, True, True]
+    assert mixing.near_subset(np.array([100]), 60).tolist() == [True] and mixing.near_subset(np.array([100]), 40).tolist() == [False]
+    assert mixing.near_subset(np.zeros(0, np.int64), 5).tolist() == [] and mixing.near_subset(np.array([0, 5]), 0).tolist() == [True, False]
+    for _ in range(50):
+        w = r.integers(0, 3000, 60)
+        rest = int(w.sum() * r.random())
+        assert abs(int(w[mixing.near_subset(w, rest)].sum()) - rest) <= 30
+    import itertools
+
+    for _ in range(30):
+        w = r.integers(0, 900, 8)
+        rest = int(w.sum() * r.random())
+        best = min(abs(sum(x for x, t in zip(w, p) if t) - rest) for p in itertools.product((0, 1), repeat=8))
+        assert abs(int(w[mixing.near_subset(w, rest)].sum()) - rest) == best
+
+
 def fixture(n=9000):
     r = random.Random(2)
     rows = [(k, "w " * r.choice([1, 5, 20, 300]), r.choice(["src0"] * 5 + ["src1", "é", "Z", None])) for k in range(n)]
