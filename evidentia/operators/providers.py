@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -64,8 +65,10 @@ class EchoGenerator:
 
 
 def safe_error(e: BaseException) -> str:
-    """A message of at most 500 characters; the error's name if it has none."""
-    return (str(e).strip() or type(e).__name__)[:500]
+    """A message of at most 500 characters; the error's name if it has none. Of a worker's traceback, its last error."""
+    text = str(e).strip()
+    raised = re.findall(r"^(?:\w+\.)*\w+(?:Error|Exception): (.+)$", text, re.M) if "Traceback" in text else []
+    return (raised[-1] if raised else text or type(e).__name__)[:500]
 
 
 def embed(df: DataFrame, key: str, text: str, embedder: Embedder) -> DataFrame:
