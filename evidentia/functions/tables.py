@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -40,3 +41,15 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it is found to have at most so many rows; as it is beyond. Written first, so it is made once."""
+    df = materialize(df, "side")
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small input has fewer partitions than there are; a larger input stays as it was read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia import sql_forms as S
 from evidentia.functions import fixed_values as V
 from evidentia.functions import text as T
-from evidentia.functions.tables import materialize
+from evidentia.functions.tables import materialize, spread
 from evidentia.operators import chunking, corpus, evidence, graph, guard, providers, retrieval
 from evidentia.plans import pipeline
 from evidentia.sources import files
@@ -36,7 +36,7 @@ def query(oracle: str | None = None):
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """doc_ord, source, page, text: each row of documents as a document with a name of its own."""
-    t = spark.read.parquet(f"{d}/documents.parquet")
+    t = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text"))
     return t.select(F.col("doc_id").alias("doc_ord"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), F.lit(None).cast("int").alias("page"), T.clean_text(F.col("text")).alias("text"))
 
 
