@@ -3,8 +3,8 @@
 A window is WINDOW consecutive words of a benchmark item (a shorter item that has words is one window). The k-grams (K words)
 of every text are hashed, and the minimum of each run of WINDOW - K + 1 k-grams is kept as a fingerprint, the rightmost on
 ties. Two texts that share WINDOW words share the whole run, hence its minimum: every shared window is met. Document fingerprints
-that occur among the benchmark's are extended: the windows around a hit are looked up among the item windows and compared word
-by word. Items shorter than a window are met by the hashes of all their-length grams.
+that occur among the benchmark's are extended: the windows around a hit are looked up among the item windows and their words
+compared. Items shorter than a window are met by the hashes of all their-length grams.
 
 The benchmark is a stated query set. It is read in blocks of bounded size; a document is probed against every block, and the
 workers hold one block at a time. Nothing of the documents is shuffled, and a passage in a third of them stays with its rows.
@@ -16,8 +16,8 @@ the empty text; an empty benchmark hits nothing; ids and repeated rows pass thro
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,27 +67,25 @@ def winnow(h: np.ndarray, doc: np.ndarray, window: int, k: int) -> tuple[np.ndar
 
 
 class Block:
-    """The fingerprints and windows of some items."""
+    """The fingerprints and windows of some items, as arrays: under 40 bytes a word beside the items' text."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, k: int = K):
         self.window, self.k = window, k
+        self.ids = [i for i, _ in items]
         start, end, which, buf = words_of([t.encode() for _, t in items], TABLE)
         h = word_hashes(start, end, buf)
-        ids = [i for i, _ in items]
-        _, prints = winnow(h, which, window, k)
-        self.prints = np.unique(prints)
-        by: dict[int, dict[int, dict[tuple, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        size = np.bincount(which, minlength=len(items))
-        g = {n: grams(h, n) for n in {min(int(s), window) for s in size if s}}
-        first = np.concatenate([[0], np.cumsum(size)])
-        for i, s in enumerate(size):
-            n = min(int(s), window)
-            for p in range(first[i], first[i] + s - n + 1) if n else ():
-                by[n][int(g[n][p])][tuple(buf[start[q] : end[q]] for q in range(p, p + n))].add(ids[i])
-        self.windows = {n: {x: dict(y) for x, y in v.items()} for n, v in by.items()}
-        self.keys = {n: np.array(sorted(v), np.uint64) for n, v in self.windows.items()}
-
-    def hits(self, h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, buf: bytes, prints: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, set]]:
+        self.which, self.words = which.astype(np.int32), Words(start, end, buf)
+        self.prints = np.unique(winnow(h, which, window, k)[1])
+        size = np.minimum(np.bincount(which, minlength=len(items)), window)
+        self.keys: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        for n in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero((which[: len(h) - n + 1] == which[n - 1 :]) & (size[which[: len(h) - n + 1]] == n))
+            g = grams(h, n)[at]
+            order = np.argsort(g, kind="stable")
+            self.keys[n], self.at[n] = g[order], at[order].astype(np.int32)
+
+    def hits(self, h: np.ndarray, doc: np.ndarray, words: Callable[[], Words], prints: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, set]]:
         """(position, words, item ids) of each occurrence of a window of this block."""
         out = []
         for n, keys in self.keys.items():
@@ -105,14 +103,31 @@ class Block:
             for j in range(n):
                 g += h[begin + j] * _STEP[j]
             g = mix64(g)
-            found = member(g, keys)
-            for p, x in zip(begin[found].tolist(), g[found].tolist()):
-                ids = self.windows[n][x].get(tuple(buf[start[q] : end[q]] for q in range(p, p + n)))
-                if ids:
-                    out.append((p, n, ids))
+            low, high = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
+            met: dict[bytes, set] = {}
+            for i in np.flatnonzero(high > low).tolist():
+                p = int(begin[i])
+                shown = words().span(p, n)
+                if shown not in met:
+                    met[shown] = {self.ids[self.which[q]] for q in self.at[n][low[i] : high[i]].tolist() if self.words.span(q, n) == shown}
+                if met[shown]:
+                    out.append((p, n, met[shown]))
         return out
 
 
+class Words:
+    """Words one after another with a space between, so neighbours can be compared as one piece."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, buf: bytes):
+        size = end - start
+        self.buf = b" ".join(buf.split())
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+
+    def span(self, p: int, n: int) -> bytes:
+        return self.buf[self.start[p] : self.end[p + n - 1]]
+
+
 def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(x), bool)
@@ -128,12 +143,13 @@ def scan(texts: list[bytes], blocks: list) -> tuple[np.ndarray, np.ndarray, list
     edge = np.zeros(len(h) + 1, np.int64)
     items: list[set] = [set() for _ in texts]
     prints: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    words = cache(lambda: Words(start, end, buf))
     for load in blocks:
         block = load()
         key = (block.window, block.k)
         if key not in prints:
             prints[key] = winnow(h, doc, *key)
-        for p, n, ids in block.hits(h, doc, start, end, buf, prints[key]):
+        for p, n, ids in block.hits(h, doc, words, prints[key]):
             edge[p] += 1
             edge[p + n] -= 1
             items[doc[p]] |= ids
@@ -141,9 +157,16 @@ def scan(texts: list[bytes], blocks: list) -> tuple[np.ndarray, np.ndarray, list
     return n_words, np.bincount(doc[inside], minlength=len(texts)), [sorted(s) for s in items]
 
 
-def _loader(shared):
-    """One block at a time stays in a worker where there are several."""
-    return lambda: shared.value
+def _loader(shared, alone: bool) -> Callable[[], Block]:
+    """Of several blocks a worker holds one at a time: the broadcast's own copy of the value is given up."""
+
+    def load() -> Block:
+        block = shared.value
+        if not alone and getattr(shared, "_path", None):
+            vars(shared).pop("_value", None)
+        return block
+
+    return load
 
 
 def share_benchmark(benchmark: DataFrame, window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> list:
@@ -176,7 +199,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def scan_texts(texts: list[str | None], blocks: list) -> tuple[list[int], list[int], list[list[str]]]:
     raw = [(t or "").encode() for t in texts]
-    loads = [_loader(s) for s in blocks]
+    loads = [_loader(s, len(blocks) == 1) for s in blocks]
     n_words: list[int] = []
     n_hit: list[int] = []
     items: list[list[str]] = []
