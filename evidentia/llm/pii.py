@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -147,8 +148,26 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
             out.append((kind, begin, end))
     if not out:
         return out
-    taken = [(b, e) for _, b, e in base]
-    return sorted((s for s in out if not any(b < s[2] and s[1] < e for b, e in taken)), key=_order)
+    starts, ends = _merged(base)
+
+    def free(s: Span) -> bool:
+        i = bisect_left(starts, s[2]) - 1  # of the ranges that begin before its end, the last ends last
+        return i < 0 or ends[i] <= s[1]
+
+    return sorted(filter(free, out), key=_order)
+
+
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """The ranges that the spans, by start, cover together; they do not overlap."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, b, e in spans:
+        if ends and b < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(b)
+            ends.append(e)
+    return starts, ends
 
 
 LABELERS = ("form", "strict_form", "gazetteer", "cue_before", "cue_near", "plain_context")
@@ -263,11 +282,11 @@ def fit(docs: DataFrame) -> SpanModel:
 def all_spans(text: str, accepted: set) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and added spans, both by start and kind."""
     base = base_spans(text)
-    out, done = list(base), []
+    out, done = list(base), 0
     for s in candidates(text, base):
-        if (s[0], votes(text, s)) in accepted and not any(b < s[2] and s[1] < e for b, e in done):
+        if s[1] >= done and (s[0], votes(text, s)) in accepted:
             out.append(s)
-            done.append((s[1], s[2]))
+            done = s[2]
     return base, sorted(out, key=_order)
 
 

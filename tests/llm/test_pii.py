@@ -63,3 +63,11 @@ def test_em_prefers_labelers_that_agree():
 
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_candidates_avoid_base_spans_of_long_texts():
+    text = "a@b.co 123-456-7890 +1 (017) 555-7713 jane(at)mail.com 4111 1111 1111 1111 " * 300 + "4111 1111 1111 1112"
+    base = pii.base_spans(text)
+    found = [(k, *m.span(1 if k == "secret" else 0)) for k, loose in pii._LOOSE.items() for m in loose.finditer(text)]
+    want = [s for s in found if not any(b < s[2] and s[1] < e for _, b, e in base)]
+    assert 0 < len(want) < len(found) and pii.candidates(text, base) == sorted(want, key=pii._order)
