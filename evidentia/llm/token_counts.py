@@ -2,7 +2,7 @@
 
 A text is split at safe boundaries: a single space between two characters that are not white space. The byte-level
 pre-tokenizer always begins a new piece there, so the counts of the parts add up to the count of the whole text. Parts
-that this worker has not met lately are encoded in batches balanced by bytes; only lengths are kept.
+that this worker has not met lately are encoded in batches balanced by bytes; only lengths are kept, and of long parts nothing.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; a text without a safe boundary is encoded whole; ids and repeated
 rows pass through.
@@ -23,7 +23,8 @@ ODD = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\
 _odd = re.compile(f"[{ODD}]|  |\n | \n|^ | $")
 _safe = re.compile(f"(?<=[^ \n{ODD}]) (?=[^ \n{ODD}])")
 BATCH_BYTES = 1 << 18
-CACHE_PARTS = 500_000
+#: A worker keeps the lengths of at most so many parts; longer parts (in bytes of UTF-8 at most four times as long) are not kept.
+CACHE_PARTS, CACHED_LENGTH = 500_000, 64
 
 _state: dict[str, tuple[object, dict, dict]] = {}
 
@@ -53,19 +54,24 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
         _state[path] = (_tokenizer(path), {}, {})
     tok, first, later = _state[path]
 
-    def learn(cache: dict, parts: set[str], lead: str) -> None:
+    def learn(cache: dict, parts: set[str], lead: str) -> list[str]:
+        """Puts the parts' lengths into the cache; returns those that are to go after the batch."""
         new = [p for p in parts if p not in cache]
         if len(cache) + len(new) > CACHE_PARTS:
             cache.clear()
             new = list(parts)
         cache.update(zip(new, encode_lengths(tok, [lead + p for p in new])))
+        return [p for p in new if len(p) > CACHED_LENGTH]
 
     def count(texts: list[str]) -> list[int]:
         split = [parts_of(t) for t in texts]
-        learn(first, {s[0] for s in split}, "")
-        learn(later, set().union(*(s[1:] for s in split)), " ")
+        long = [(c, learn(c, parts, lead)) for c, parts, lead in ((first, {s[0] for s in split}, ""), (later, set().union(*(s[1:] for s in split)), " "))]
         look = later.__getitem__
-        return [first[s[0]] + sum(map(look, s[1:])) for s in split]
+        out = [first[s[0]] + sum(map(look, s[1:])) for s in split]
+        for cache, parts in long:
+            for p in parts:
+                del cache[p]
+        return out
 
     return count
 

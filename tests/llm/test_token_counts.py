@@ -27,3 +27,11 @@ def test_query_and_cases(spark, tmp_path, monkeypatch):
         want.append((i, len((t or "").encode()), n, n > 1024))
     assert sorted((tuple(r) for r in C.query(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
     assert C.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_long_parts_are_not_kept():
+    count = C.counter(PATH)
+    texts = ["y" * 5000 + " short " + "z" * 4000, "short " + "z" * 4000]
+    once = count(texts)
+    assert count(texts) == once
+    assert all(len(p) <= C.CACHED_LENGTH for cache in C._state[PATH][1:] for p in cache)
