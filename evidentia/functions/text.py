@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from evidentia.functions import fixed_values as V
 
 WS = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same set as characters, to trim by without a pattern.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: What collapse() has to change: all but lone spaces.
+_UNEVEN = rf"{WS}(?:{WS}+|(?<! ))"
 EOL = r"\r\n|[\n-\r\x1C-\x1E\x85\u2028\u2029]"
 #: Cuts a sentence after its end mark.
 SENTENCE_END = rf"(?<=[.!?]){WS}+"
@@ -28,11 +32,11 @@ def lit_array(words: list[str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -42,7 +46,7 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN, " "))
 
 
 def words(c: Column) -> Column:
