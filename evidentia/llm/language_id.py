@@ -8,6 +8,11 @@ Model: Nystroem landmarks and one-versus-rest kernel ridge regression. With land
 matrix C, the coefficients solve (C'C + lambda n W) A = C'Y. Scoring a batch is one matrix product for the kernel
 values and one for the class scores.
 
+Fit: the cover of a word is the share of its 3-grams, by position, that the landmarks hold, and the cover of a text the median of its
+words', so that a key or a name spoils no short text. A text of fewer than three characters goes by its longest n-grams.
+A language's cut is COVER of the cover that all but 1 % of its training rows reach, each landmark measured against the others. A text
+under the cut of its best language fits none of them: its score is brought below MIN_SCORE, down to 0 for a text without a known n-gram.
+
 The model is fitted on the driver on a bounded sample: at most PER_LANG labelled training rows of each language and LANDMARKS
 landmarks among them, drawn by a hash. Training rows have a non-null text and lang, and crc32 of the id as text is not 0
 modulo 5. A prediction uses the text alone.
@@ -33,7 +38,9 @@ PER_LANG = 300
 LANDMARKS = 96
 RIDGE = 1e-4
 MAX_LANGS = 2000
-#: The pipeline rejects a document whose best class score is below this; 0.5 is the boundary between one class and the rest.
+#: A text may have so much less of its n-grams known than the training rows of its language.
+COVER = 0.75
+#: The pipeline rejects a document whose score is below this: one that fits none of the learned languages.
 MIN_SCORE = 0.2
 UND = "und"
 
@@ -80,15 +87,30 @@ def buckets(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def presence(texts: list[str], table: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """[text, column] presence of the columns' n-grams, and the letters in each text. Column 0 is for n-grams outside."""
+def presence(texts: list[str], table: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[text, column] presence of the columns' n-grams, the letters in each text, and its cover. Column 0 is for n-grams outside."""
     codes, owner, n_letters = encode(texts)
     seen = np.zeros((len(texts), width), bool)
     flat = seen.reshape(-1)
+    cover = np.zeros(len(texts))
     for b in buckets(codes):
-        flat[owner[: len(b)] * width + table[b]] = True
+        column = table[b]
+        flat[owner[: len(b)] * width + column] = True
+        whole = np.bincount(owner[: len(b)][b > 0], minlength=len(texts))
+        known = np.bincount(owner[: len(b)][column > 0], minlength=len(texts))
+        cover = np.where(whole > 0, known / np.maximum(whole, 1), cover)
     seen[:, 0] = False
-    return seen, n_letters
+    word = np.cumsum((codes == 32) | (codes == 0))
+    at = np.flatnonzero((b > 0) & (codes[1 : len(b) + 1] != 32))  # an n-gram belongs to the word of its second character
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(word[at + 1]) != 0]))
+        share = np.add.reduceat(column[at] > 0, first, dtype=np.int64) / np.diff(np.append(first, len(at)))
+        of = owner[at[first]]
+        share = share[np.lexsort((share, of))]
+        n = np.bincount(of, minlength=len(texts))
+        some = np.flatnonzero(n)
+        cover[some] = share[(np.cumsum(n) - n + n // 2)[some]]
+    return seen, n_letters, cover
 
 
 class Model:
@@ -100,11 +122,12 @@ class Model:
             return
         each = max(2, landmarks // len(self.langs))
         count: dict[str, int] = {}
-        marks = []
-        for lang, text in rows:
+        marks, at = [], []
+        for k, (lang, text) in enumerate(rows):
             count[lang] = count.get(lang, 0) + 1
             if count[lang] <= each:
                 marks.append(text)
+                at.append(k)
         used = np.zeros(1 << BUCKETS, bool)
         for b in buckets(encode(marks)[0]):
             used[b] = True
@@ -112,11 +135,20 @@ class Model:
         self.table = np.zeros(1 << BUCKETS, np.int32)
         self.table[used] = np.arange(1, int(used.sum()) + 1)
         self.width = int(used.sum()) + 1
-        own, _ = presence(marks, self.table, self.width)
+        own, _, _ = presence(marks, self.table, self.width)
         self.marks = own.astype(np.uint8)
         self.roots = np.sqrt(own.sum(axis=1, dtype=np.float32))
         w = self.kernel(own).astype(np.float64)
-        c = np.concatenate([self.kernel(presence([t for _, t in rows[i : i + 64]], self.table, self.width)[0]) for i in range(0, len(rows), 64)]).astype(np.float64)
+        c, cover = [], []
+        for i in range(0, len(rows), 64):
+            seen, _, part = presence([t for _, t in rows[i : i + 64]], self.table, self.width)
+            c.append(self.kernel(seen))
+            cover.append(part)
+        c, cover = np.concatenate(c).astype(np.float64), np.concatenate(cover)
+        shared = np.where(own.sum(axis=0) > 1, np.arange(self.width), 0).astype(np.int32)[self.table]  # n-grams of two landmarks
+        cover[at] = np.concatenate([presence(marks[i : i + 64], shared, self.width)[2] for i in range(0, len(marks), 64)])
+        of = np.array([lang for lang, _ in rows])
+        self.cut = np.array([COVER * np.quantile(cover[of == lang], 0.01) for lang in self.langs])
         y = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         n_of = np.array([count[lang] for lang, _ in rows])
         weight = (len(rows) / len(self.langs) / n_of)[:, None]  # languages weigh the same
@@ -141,10 +173,12 @@ class Model:
         whole = [t or "" for t in texts]
         ranges = [(k, min(j, k + 256)) for i, j in chunks_by_bytes([len(t) for t in whole], 1 << 20) for k in range(i, j, 256)]
         for i, j in ranges:
-            seen, n_letters = presence(whole[i:j], self.table, self.width)
+            seen, n_letters, cover = presence(whole[i:j], self.table, self.width)
             f = self.kernel(seen) @ self.coef
             best = f.argmax(axis=1)
             top = np.clip((f.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
+            cut = self.cut[best]
+            top = np.where(cover < cut, top * MIN_SCORE * cover / np.maximum(cut, 1e-9), top)
             for k in np.flatnonzero(n_letters):
                 lang[i + k], score[i + k] = self.langs[best[k]], float(top[k])
         return lang, score
