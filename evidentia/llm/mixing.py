@@ -2,17 +2,18 @@
 
 1. Targets: sources, in code-point order with null last, weigh 3, 1, 2, repeating, and share 150 % of all words. A target stops at
    twice its source's words; the excess is shared again by weight until none is above.
-2. Blocks: each source's documents fall into blocks by a keyed hash, so a block is a random part of its source. The source's quota is
-   a number of whole blocks out of its passes (a document can be taken twice, once in each pass) plus a part of one
-   boundary block. The boundary is found level by level: 1024 blocks of the source, 1024 sub-blocks of the boundary block, then the
-   documents of one sub-block, in random order, each taken if it still fits. No step orders more than a 2^-20 part of a source.
+2. Blocks: each source's documents, however few, fall into 1024 blocks by a keyed hash, so a block is a random part of its source.
+   The source's quota is a number of whole blocks out of its passes (a document can be taken twice, once in each pass) plus a part of
+   one boundary, a run of blocks with SMALL documents or more (one block in a large source). The boundary is found level by level: the
+   runs of the source, 1024 sub-blocks of a large boundary, then the documents of one sub-block, in random order, each taken if it
+   still fits. No step orders more than a 2^-20 part of a large source.
 3. Splitting tree: the whole-block quotas of all sources are the root. A node draws from a multivariate hypergeometric law how many
    of its blocks of each source go to its left half of the output shards; the right half gets the rest. The leaves are exact quotas
    of each shard, and they add up to the root.
 4. Each shard draws its quota from the permuted block list of each source (disjoint ranges of one keyed permutation) and
    shuffles locally, by a keyed hash of the row.
 
-The driver holds one row for each source and 1024 x 2 block numbers for each; the number of sources is checked against MAX_SOURCES.
+The driver holds one row and the quotas of the shards for each source; block lists stay in the tasks, one source at a time.
 Everything follows from the seed and the rows, so reruns agree.
 
 Cases: a null text has size 0; documents of size 0 are taken with their block at no cost; a null source is a source of its own, last;
@@ -25,18 +26,22 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WORD, discard, materialize, text_hashes
+from evidentia.llm.common import WORD, materialize, text_hashes
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = Fraction(3, 2)
 MOST = 2
 BLOCKS = 1024
-#: A source is cut into blocks from so many documents on, and its boundary block into parts from FEW x BLOCKS on.
+#: The boundary block of a source is cut into parts from FEW x BLOCKS documents on.
 FEW = 4096
-MAX_SOURCES = 1000
+#: Tables of one row a source are broadcast up to so many sources, and joined beyond.
+BROADCAST_SOURCES = 1000
+#: The law of the splitting tree is drawn for fewer blocks than this; beyond, sources get fewer blocks each.
+MOST_BLOCKS = 1_000_000_000
 #: A boundary of so few documents and words is filled as near as any choice of documents can.
 SMALL, SMALL_WORDS = 64, 2_000_000
 OUTPUT_SHARDS = 16
@@ -45,18 +50,20 @@ OUTPUT_SHARDS = 16
 def targets(sizes: list[int], weights: list[int], share: Fraction = TOTAL_SHARE, most: int = MOST) -> list[Fraction]:
     """Shares of share x sum(sizes) by weight, none above most x its size; exact."""
     out = [Fraction(0)] * len(sizes)
-    free, left = set(range(len(sizes))), share * sum(sizes)
+    free, left = list(range(len(sizes))), share * sum(sizes)
     while free:
         total = sum(weights[i] for i in free)
-        full = [i for i in free if left * weights[i] / total > most * sizes[i]]
+        over = {w: left * w / total for w in {weights[i] for i in free}}
+        full = [i for i in free if over[weights[i]] > most * sizes[i]]
         if not full:
             for i in free:
-                out[i] = left * weights[i] / total
+                out[i] = over[weights[i]]
             break
         for i in full:
             out[i] = Fraction(most * sizes[i])
-            left -= out[i]
-            free.discard(i)
+        left -= most * sum(sizes[i] for i in full)
+        gone = set(full)
+        free = [i for i in free if i not in gone]
     return out
 
 
@@ -147,79 +154,82 @@ def plan_mixture(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHA
     d = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h1.alias("h1"), h2.alias("h2"))
     d = materialize(d.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "h1", "h2")), "mix-rows")
 
-    per = d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"a mixture weighs at most {MAX_SOURCES} sources")
-    per.sort(key=lambda r: (r.source is None, r.source or ""))
-    want = targets([r["size"] for r in per], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(per))])
+    per = d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toArrow()  # one row for each source
+    if per.num_rows > BROADCAST_SOURCES:
+        raise ValueError(f"a mixture weighs at most {BROADCAST_SOURCES} sources")
+    per = sorted(zip(*(per.column(c).to_pylist() for c in ("source", "size", "n"))), key=lambda r: (r[0] is None, r[0] or ""))
+    near = F.broadcast if len(per) <= BROADCAST_SOURCES else lambda t: t
+    cut = _blocks_each([n for _, _, n in per])
+    want = targets([size for _, size, _ in per], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(per))])
     rows = []
-    for k, (r, t) in enumerate(zip(per, want)):
-        whole = min(MOST, int(t / r["size"])) if r["size"] else 0
-        need = int(t - whole * r["size"])
-        rows.append((r.source, k, r["size"], float(t), whole, need, (r.n >= FEW) + (r.n >= FEW * BLOCKS)))
-    source = spark.createDataFrame(rows, "src string, k int, source_size long, target double, whole int, need long, levels int")
-    # one row for each source, at most MAX_SOURCES
-    d = d.join(F.broadcast(source), F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    for level, name in enumerate(("block", "part")):
-        d = d.withColumn(name, F.when(F.col("levels") > level, _level(F.col("h"), level)).otherwise(F.lit(0)))
-
-    blocks = materialize(d.groupBy("k", "block").agg(F.sum("size").alias("words"), F.first("need").alias("need")), "mix-blocks")  # BLOCKS rows a source
-    edge = materialize(_boundary(blocks, ["k"], "block"), "mix-edge")
-    inner = d.join(F.broadcast(edge), "k").where(F.col("block") == F.col("edge"))
+    for k, ((src, size, n), t) in enumerate(zip(per, want)):
+        whole = min(MOST, int(t / size)) if size else 0
+        runs = min(cut, 1 << max(0, (n // SMALL).bit_length() - 1))
+        rows.append((src, k, size, float(t), whole, int(t - whole * size), cut // runs, n >= FEW * BLOCKS))
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+    names = ["src", "k", "source_size", "target", "whole", "need", "run_blocks", "deep"]
+    source = _table(spark, rows, names, kinds, "src string, k int, source_size long, target double, whole int, need long, run_blocks int, deep boolean")
+    d = d.join(near(source), F.col("source").eqNullSafe(F.col("src"))).drop("src")
+    d = d.withColumn("block", (_level(F.col("h"), 0) % cut).cast("int"))
+    d = d.withColumn("run", F.floor(F.col("block") / F.col("run_blocks")).cast("int"))
+    d = d.withColumn("part", F.when(F.col("deep"), _level(F.col("h"), 1)).otherwise(F.lit(0)))
+
+    runs = d.groupBy("k", "run").agg(F.sum("size").alias("words"), F.first("need").alias("need"))  # at most BLOCKS rows a source
+    edge = materialize(_boundary(runs, ["k"], "run"), "mix-edge")
+    inner = d.join(near(edge), "k").where(F.col("run") == F.col("edge"))
     parts = inner.groupBy("k", "part").agg(F.sum("size").alias("words"), F.first("rest").alias("need"))
     edge2 = materialize(_boundary(parts, ["k"], "part").withColumnRenamed("edge", "edge2").withColumnRenamed("rest", "rest2"), "mix-edge2")
-    last = inner.join(F.broadcast(edge2), "k").where(F.col("part") == F.col("edge2"))
+    last = inner.join(near(edge2), "k").where(F.col("part") == F.col("edge2"))
     # equal rows have one hash and are taken together; one sub-block of a source at a time
     units = last.groupBy("k", "h").agg(F.sum("size").alias("words"), F.first("rest2").alias("rest"))
     took = units.groupBy("k").applyInPandas(_fill, "k int, h long").withColumn("fit", F.lit(True))  # one part of a source at a time
     took = materialize(took, "mix-took")
 
-    # passes: 0 .. whole-1 take every block; pass `whole` takes the blocks before the edge, and the boundary's part
-    edges = {r.k: r.edge for r in edge.collect()}  # one row for each source
-    tree = _draw(blocks, rows, edges, output_shards, seed)
-    placed = spark.createDataFrame(tree, "k int, pass int, block int, out_shard int")
-    marked = d.join(took, ["k", "h"], "left")
-    marked = marked.join(F.broadcast(edge2.select("k", "edge2")), "k", "left").join(F.broadcast(spark.createDataFrame(list(edges.items()), "k int, edge int")), "k", "left")
-    before = F.col("edge").isNull() & (F.col("need") > 0) | (F.col("block") < F.col("edge"))
-    inside = (F.col("block") == F.col("edge")) & ((F.col("part") < F.col("edge2")) | F.col("fit"))
+    # passes: 0 .. whole-1 take every block; pass `whole` takes the runs before the edge, and the boundary's part
+    marked = d.join(took, ["k", "h"], "left").join(near(edge2.select("k", "edge2")), "k", "left").join(near(edge.select("k", "edge")), "k", "left")
+    before = F.col("edge").isNull() & (F.col("need") > 0) | (F.col("run") < F.col("edge"))
+    inside = (F.col("run") == F.col("edge")) & ((F.col("part") < F.col("edge2")) | F.col("fit"))
     more = F.coalesce(F.when(before | inside, F.lit(1)), F.lit(0))
     marked = marked.withColumn("copies", F.least(F.col("whole") + more, F.lit(MOST)))
-    at = placed.groupBy("k", "block").agg(F.map_from_entries(F.collect_list(F.struct("pass", "out_shard"))).alias("shards"))  # at most MOST entries each
-    marked = marked.join(at, ["k", "block"], "left")
+    marked = marked.join(_draw(marked, output_shards, seed, near), ["k", "block"], "left")
     order = lambda p: F.xxhash64(F.lit(seed + 1), p, F.col("h"))
     places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: F.struct(F.coalesce(F.try_element_at("shards", p), F.lit(0)).alias("out_shard"), order(p).alias("at")))).otherwise(F.array().cast("array<struct<out_shard:int,at:bigint>>"))
-    for t in (blocks, edge):
-        discard(t)
     return marked.select("doc_id", "source", "size", "source_size", "target", "copies", places.alias("places"), "h1", "h2")
 
 
-def _draw(blocks: DataFrame, rows: list[tuple], edges: dict[int, int], output_shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(source, pass, block, output shard) for every block that is taken, whole or in part."""
-    have: dict[int, list[int]] = {}
-    for r in blocks.select("k", "block").collect():  # at most BLOCKS rows a source
-        have.setdefault(r.k, []).append(r.block)
-    lists = []
-    for _, k, _, _, whole, need, _ in rows:
-        own = sorted(have.get(k, []))
-        taken = [(p, b) for p in range(whole) for b in own]
-        if need and whole < MOST:
-            taken += [(whole, b) for b in own if b <= edges.get(k, BLOCKS)]
-        taken = [taken[i] for i in np.random.default_rng([seed, k]).permutation(len(taken))]
-        lists.append(taken)
-    quotas = np.array([len(x) for x in lists], np.int64)
-    if not len(quotas):
-        return []
-    tree = splitting_tree(quotas, output_shards, np.random.default_rng(seed))
-    ends = np.cumsum(tree, axis=0)
-    out = []
-    for k, taken in enumerate(lists):
-        shard = np.searchsorted(ends[:, k], np.arange(len(taken)), "right")
-        out += [(k, p, b, int(s)) for (p, b), s in zip(taken, shard)]
-    return out
+def _blocks_each(n_docs: list[int]) -> int:
+    """Blocks of each source: BLOCKS, or fewer where all sources together would have too many that hold a document."""
+    cut = BLOCKS
+    while cut > 1 and MOST * sum(min(n, cut) for n in n_docs) >= MOST_BLOCKS:
+        cut //= 2
+    return cut
+
+
+def _table(spark, rows: list[tuple], names: list[str], kinds: list, schema: str) -> DataFrame:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds)}), schema)
+
+
+def _draw(marked: DataFrame, output_shards: int, seed: int, near) -> DataFrame:
+    """k, block, shards (output shard by pass) for every block that is taken, whole or in part."""
+    taken = marked.where("copies > 0").groupBy("k", "block").agg(F.max("copies").alias("passes"))
+    taken = materialize(taken, "mix-taken")  # at most BLOCKS rows a source
+    sums = taken.groupBy("k").agg(F.sum("passes").alias("n")).orderBy("k").toArrow()  # one row for each source
+    ks, quotas = sums.column("k").to_pylist(), sums.column("n").to_numpy().astype(np.int64)
+    tree = splitting_tree(quotas, output_shards, np.random.default_rng(seed)) if len(ks) else np.zeros((output_shards, 0), np.int64)
+    ends = np.cumsum(tree, axis=0).T.tolist()
+    spark = marked.sparkSession
+    shard = _table(spark, list(zip(ks, ends)), ["k", "ends"], [pa.int32(), pa.list_(pa.int64())], "k int, ends array<long>")
+    lists = taken.select("k", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+    # the permuted block list of each source: at most MOST x BLOCKS rows
+    permuted = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(seed + 2), "k", "pass", "block"), "pass", "block")
+    lists = lists.withColumn("at", F.row_number().over(permuted)).join(near(shard), "k")
+    lists = lists.withColumn("out_shard", F.size(F.filter("ends", lambda e: e < F.col("at"))))
+    return lists.groupBy("k", "block").agg(F.map_from_entries(F.collect_list(F.struct("pass", "out_shard"))).alias("shards"))  # at most MOST entries each
 
 
 def mix(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
-    """docs with all its columns, each row as often as the mix takes it."""
+    """docs with all its columns, each row as often as the mix takes it; the drawn places are left to the caller's own sharding."""
     plan = plan_mixture(docs, seed, output_shards)
     # equal rows have equal copies
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.first("places").alias("_places"))

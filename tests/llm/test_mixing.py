@@ -91,3 +91,21 @@ def test_mix_repeats_rows(spark):
         want[i, s, len((t or "").split())] += plan[i, s, len((t or "").split())]
     assert {k: v for k, v in want.items() if v} == dict(got)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_small_sources_are_cut_into_blocks(spark):
+    r = random.Random(4)
+    rows = [(k, "w " * r.choice([1, 5, 20, 300]), f"s{k % 3}") for k in range(900)]
+    plan = mixing.plan_mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    shards, units = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    taken, target = defaultdict(int), {}
+    for x in plan:
+        taken[x.source] += x.size * len(x.places)
+        target[x.source] = x.target
+        for p, place in enumerate(x.places):
+            shards[x.source, p][place.out_shard] += 1
+            units[place.out_shard] += 1
+    for s in target:  # 300 documents a source: each full pass reaches all shards, in even parts
+        assert abs(taken[s] - target[s]) <= max(4, 0.002 * target[s])
+        assert len(shards[s, 0]) == mixing.OUTPUT_SHARDS and max(shards[s, 0].values()) < 300 / 4
+    assert max(units.values()) <= 2 * min(units.values())
