@@ -155,8 +155,6 @@ def plan_mixture(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHA
     d = materialize(d.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "h1", "h2")), "mix-rows")
 
     per = d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toArrow()  # one row for each source
-    if per.num_rows > BROADCAST_SOURCES:
-        raise ValueError(f"a mixture weighs at most {BROADCAST_SOURCES} sources")
     per = sorted(zip(*(per.column(c).to_pylist() for c in ("source", "size", "n"))), key=lambda r: (r[0] is None, r[0] or ""))
     near = F.broadcast if len(per) <= BROADCAST_SOURCES else lambda t: t
     cut = _blocks_each([n for _, _, n in per])

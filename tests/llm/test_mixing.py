@@ -109,3 +109,21 @@ def test_small_sources_are_cut_into_blocks(spark):
         assert abs(taken[s] - target[s]) <= max(4, 0.002 * target[s])
         assert len(shards[s, 0]) == mixing.OUTPUT_SHARDS and max(shards[s, 0].values()) < 300 / 4
     assert max(units.values()) <= 2 * min(units.values())
+
+
+def test_more_sources_than_are_broadcast(spark):
+    rows = [(k, "w " * (1 + k % 7), f"site{k % 1203:04}" if k % 1203 else None) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mixture(df).collect()
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for x in plan:
+        size[x.source] += x.size
+        taken[x.source] += x.size * len(x.places)
+        target[x.source] = x.target
+    assert len(plan) == len(rows) and len(size) == 1203
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = mixing.targets([size[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))])
+    for s, t in zip(names, want):
+        assert abs(target[s] - float(t)) < 1e-6 and abs(taken[s] - float(t)) <= 7
+    assert mixing.mix(df).count() == sum(len(x.places) for x in plan)
+    assert len({p.out_shard for x in plan for p in x.places}) == mixing.OUTPUT_SHARDS
