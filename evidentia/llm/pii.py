@@ -121,7 +121,7 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2,3}[ -]?[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9.+(])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}[ .-][0-9]{3,6}(?![0-9.])"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\b\.? [A-ZÀ-Þ][a-zß-ÿ]{1,30}(?: [A-ZÀ-Þ][a-zß-ÿ]{1,30})?"),
-    "secret": re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{8,512})"),
+    "secret": re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{8,}+)"),
 }
 #: Substrings of which a text must have one to hold a candidate of the kind at all; finding them is far cheaper than a pattern.
 _MAY = {

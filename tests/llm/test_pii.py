@@ -71,3 +71,10 @@ def test_candidates_avoid_base_spans_of_long_texts():
     found = [(k, *m.span(1 if k == "secret" else 0)) for k, loose in pii._LOOSE.items() for m in loose.finditer(text)]
     want = [s for s in found if not any(b < s[2] and s[1] < e for _, b, e in base)]
     assert 0 < len(want) < len(found) and pii.candidates(text, base) == sorted(want, key=pii._order)
+
+
+def test_a_long_secret_is_one_candidate_to_its_end():
+    for n in (8, 512, 513, 100_000):
+        key = "aB3/" * (n // 4) + "x" * (n % 4)
+        text = f"api_key: {key} end"
+        assert [s for s in pii.candidates(text, []) if s[0] == "secret"] == [("secret", 9, 9 + n)]
