@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import chunks_by_bytes, mix64, word_hashes, words_of
+from evidentia.llm.common import for_texts, mix64, slices, word_hashes, words_of
 
 WINDOW = 10
 K = 5
@@ -186,25 +186,25 @@ def share_benchmark(benchmark: DataFrame, window: int = WINDOW, k: int = K, bloc
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit, items (the ids of the items with occurring windows, sorted as strings)."""
+    for_texts(docs.sparkSession)
     blocks = share_benchmark(benchmark, window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_hit, items = scan_texts(b.column("text").to_pylist(), blocks)
+            n_words, n_hit, items = scan_column(b.column("text"), blocks)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
     d = docs.select("doc_id", "text")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
 
 
-def scan_texts(texts: list[str | None], blocks: list) -> tuple[list[int], list[int], list[list[str]]]:
-    raw = [(t or "").encode() for t in texts]
+def scan_column(column: pa.Array, blocks: list) -> tuple[list[int], list[int], list[list[str]]]:
     loads = [_loader(s, len(blocks) == 1) for s in blocks]
     n_words: list[int] = []
     n_hit: list[int] = []
     items: list[list[str]] = []
-    for i, j in chunks_by_bytes([len(t) for t in raw], CHUNK_BYTES):
-        w, x, s = scan(raw[i:j], loads)
+    for _, _, texts in slices(column, CHUNK_BYTES):
+        w, x, s = scan([(t or "").encode() for t in texts], loads)
         n_words += w.tolist()
         n_hit += x.tolist()
         items += s
@@ -213,11 +213,12 @@ def scan_texts(texts: list[str | None], blocks: list) -> tuple[list[int], list[i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs, with all its columns, without the rows whose text has an occurring window."""
+    for_texts(docs.sparkSession)
     blocks = share_benchmark(benchmark, window, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, n_hit, _ = scan_texts(b.column("text").to_pylist(), blocks)
+            _, n_hit, _ = scan_column(b.column("text"), blocks)
             yield b.filter(pa.array([n == 0 for n in n_hit], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

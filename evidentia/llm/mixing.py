@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WORD, materialize, text_hashes
+from evidentia.llm.common import ADDRESS, WORD, addressed, for_texts, materialize, pick, text_hashes
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = Fraction(3, 2)
@@ -42,7 +42,7 @@ FEW = 4096
 BROADCAST_SOURCES = 1000
 #: The law of the splitting tree is drawn for fewer blocks than this; beyond, sources get fewer blocks each.
 MOST_BLOCKS = 1_000_000_000
-#: A boundary of so few documents and words is filled as near as any choice of documents can.
+#: Of a boundary's documents, so many of the smallest, with so many words, are chosen as near to the target as any choice can.
 SMALL, SMALL_WORDS = 64, 2_000_000
 OUTPUT_SHARDS = 16
 
@@ -96,30 +96,36 @@ def _boundary(sums: DataFrame, by: list[str], block: str) -> DataFrame:
 def near_subset(words: np.ndarray, rest: int) -> np.ndarray:
     """Which of the units, in their given random order, to take so that their words come near rest.
 
-    First each that still fits; then single additions and exchanges, as long as one brings the sum nearer.
+    First each that still fits; then single additions and exchanges, as long as one brings the sum nearer; last the best of all
+    choices among the smallest units (SMALL of them, with SMALL_WORDS words at most), the others staying as they are.
     """
     took, gap = np.zeros(len(words), bool), rest
     for i, w in enumerate(words.tolist()):
         if w <= gap:
             took[i], gap = True, gap - w
-    for _ in range(32):
+    while gap:
         into, out = np.flatnonzero(~took), np.flatnonzero(took & (words > 0))
-        if not gap or not len(into):
+        if not len(into):
             break
         order = into[np.argsort(words[into], kind="stable")]
         gain = words[order]
         lose = np.concatenate([[0], words[out]])  # nothing, or one unit that is taken
         at = np.searchsorted(gain, gap + lose)
-        best = min(((abs(int(gap + lose[k] - gain[j])), k, j) for k in range(len(lose)) for j in {max(0, at[k] - 1), min(at[k], len(gain) - 1)}), default=None)
-        if best is None or best[0] >= abs(gap):
+        below, above = np.maximum(at - 1, 0), np.minimum(at, len(gain) - 1)
+        off = np.abs(gap + lose - gain[np.stack([below, above])])
+        side, k = divmod(int(off.argmin()), len(lose))
+        if off[side, k] >= abs(gap):  # each exchange brings the sum nearer, so this ends
             break
-        _, k, j = best
+        j = (below, above)[side][k]
         took[order[j]] = True
         if k:
             took[out[k - 1]] = False
         gap = int(gap + lose[k] - gain[j])
-    if gap and len(words) <= SMALL and rest <= SMALL_WORDS:
-        return _nearest_subset(words, rest)
+    free = np.argsort(words, kind="stable")[:SMALL]
+    free = free[np.cumsum(words[free]) <= SMALL_WORDS]
+    left = gap + int(words[free][took[free]].sum())
+    if gap and len(free) and left >= 0:
+        took[free] = _nearest_subset(words[free], left)
     return took
 
 
@@ -147,12 +153,12 @@ def _fill(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def plan_mixture(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, places (array of output shard and order for each copy), h1, h2."""
-    spark = docs.sparkSession
+    """doc_id, source, size, source_size, target, copies, places (array of output shard and order for each copy), and the address of addressed rows."""
+    spark = for_texts(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    h1, h2 = text_hashes(text)
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h1.alias("h1"), h2.alias("h2"))
-    d = materialize(d.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "h1", "h2")), "mix-rows")
+    where = [c for c in ADDRESS if c in docs.columns]
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    d = materialize(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", *text_hashes(text)).alias("h"), *where), "mix-rows")
 
     per = d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toArrow()  # one row for each source
     per = sorted(zip(*(per.column(c).to_pylist() for c in ("source", "size", "n"))), key=lambda r: (r[0] is None, r[0] or ""))
@@ -191,8 +197,8 @@ def plan_mixture(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHA
     marked = marked.withColumn("copies", F.least(F.col("whole") + more, F.lit(MOST)))
     marked = marked.join(_draw(marked, output_shards, seed, near), ["k", "block"], "left")
     order = lambda p: F.xxhash64(F.lit(seed + 1), p, F.col("h"))
-    places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: F.struct(F.coalesce(F.try_element_at("shards", p), F.lit(0)).alias("out_shard"), order(p).alias("at")))).otherwise(F.array().cast("array<struct<out_shard:int,at:bigint>>"))
-    return marked.select("doc_id", "source", "size", "source_size", "target", "copies", places.alias("places"), "h1", "h2")
+    places = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: F.struct(F.coalesce(F.try_element_at("shards", p), F.raise_error(F.lit("a taken block was not drawn")).cast("int")).alias("out_shard"), order(p).alias("at")))).otherwise(F.array().cast("array<struct<out_shard:int,at:bigint>>"))
+    return marked.select("doc_id", "source", "size", "source_size", "target", "copies", places.alias("places"), *where)
 
 
 def _blocks_each(n_docs: list[int]) -> int:
@@ -228,14 +234,11 @@ def _draw(marked: DataFrame, output_shards: int, seed: int, near) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 7, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
     """docs with all its columns, each row as often as the mix takes it; the drawn places are left to the caller's own sharding."""
-    plan = plan_mixture(docs, seed, output_shards)
-    # equal rows have equal copies
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.first("places").alias("_places"))
-    row = docs.select(F.struct("*").alias("_row"))
-    h1, h2 = text_hashes(F.coalesce(F.col("_row.text"), F.lit("")))
-    row = row.withColumns({"_h1": h1, "_h2": h2})
-    same = (row["_h1"] == plan["_h1"]) & (row["_h2"] == plan["_h2"]) & row["_row.doc_id"].eqNullSafe(plan["_id"]) & row["_row.source"].eqNullSafe(plan["_src"])
-    return row.join(plan, same).withColumn("_place", F.explode("_places")).select("_row.*")
+    for_texts(docs.sparkSession)
+    rows = addressed(docs)
+    narrow = rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_row.text").alias("text"), *ADDRESS)
+    plan = plan_mixture(narrow, seed, output_shards).where("copies > 0").select(*ADDRESS, "copies")
+    return pick(rows, plan).withColumn("_place", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, materialize, text_hashes
+from evidentia.llm.common import ADDRESS, addressed, discard, for_texts, materialize, pick, text_hashes
 
 LARGE = 64
 BINS = 256
@@ -77,20 +77,26 @@ def _with_slot(rows: DataFrame, skinny: DataFrame) -> DataFrame:
     return numbered.withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long")).drop("sub", "offset", "rank")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, h1, h2 (the group's identity), shard, slot (gapless from 0 in each shard)."""
-    rows = materialize(_rows(docs, overhead), "shard-rows")
+def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
+    rows = materialize(rows, "shard-rows")
     rows = _with_shard(rows, _schedule(rows, n_shards), n_shards)
     return _with_slot(rows, rows)
 
 
+def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, h1, h2 (the group's identity), shard, slot (gapless from 0 in each shard)."""
+    for_texts(docs.sparkSession)
+    return _placed(_rows(docs, overhead), n_shards)
+
+
 def place(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
-    """docs with all its columns, and shard and slot (columns of these names in docs are replaced)."""
-    skinny = materialize(_rows(docs, overhead), "shard-rows")
-    schedule = _schedule(skinny, n_shards)
-    rows = _with_shard(_rows(docs, overhead, F.struct("*").alias("row")), schedule, n_shards)
-    rest = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return _with_slot(rows, _with_shard(skinny, schedule, n_shards)).select(*rest, "shard", "slot")
+    """docs with all its columns, and shard and slot (columns of these names in docs are replaced). Texts are met by their rows' addresses."""
+    for_texts(docs.sparkSession)
+    rows = addressed(docs)
+    narrow = rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), *ADDRESS)
+    places = _placed(_rows(narrow, overhead, *ADDRESS), n_shards).select(*ADDRESS, "shard", "slot")
+    rest = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return pick(rows, places).select(*rest, "shard", "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, materialize, mix64, text_hashes
+from evidentia.llm.common import ADDRESS, addressed, discard, for_texts, join_hot, materialize, mix64, pick, slices, text_hashes
 
 RADIUS = 3
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprint_of(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint_of(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
+        fp = np.fromiter((fingerprint_of(t) for _, _, texts in slices(b.column("text")) for t in texts), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(fp.view(np.int64))], [*(c for c in b.schema.names if c != "text"), "fp"])
 
 
@@ -191,61 +191,69 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_links(distinct: DataFrame, part: int = PART) -> DataFrame:
     """x, y: links whose components are those of all pairs of fingerprints within RADIUS."""
-    dealt = distinct.select("fp").mapInArrow(_dealt, "key long, fp long")
-    keys = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # a fingerprint alone at its key has no link there
-    shared = dealt.join(keys, "key").withColumn("parts", F.ceil(F.col("n") / part).cast("long"))
+    dealt = distinct.select("fp").mapInArrow(_dealt, "key long, fp long")  # made twice: 20 keys a fingerprint are cheaper to make than to write
+    keys = materialize(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")  # a fingerprint alone at its key has no link there
+    shared = join_hot(dealt, keys, "key", keys).withColumn("parts", F.ceil(F.col("n") / part).cast("long"))
     shared = shared.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "fp"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     shared = shared.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
     return shared.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_meet, "x long, y long").where("x <> y").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node (as a signed long) that each linked node reaches.
 
-    Every round writes its labels; the driver reads one number.
+    Every round writes its labels; the driver reads one number. A label never rises, and each round lowers one or is the last, so it ends.
     """
     both = links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).where("x <> y").distinct()
     edges = materialize(both, "simhash-edges")
     labels = materialize(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("root")), "simhash-labels")
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("low"))
-        step = labels.join(near, "node").select("node", "root", F.least("root", "low").alias("low"))
-        # pointer jumping: take the label of the label too
+        step = materialize(labels.join(near, "node").select("node", "root", F.least("root", "low").alias("low")), "simhash-step")
+        # pointer jumping: take the label of the label too; a giant component's label is met by many nodes
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("beyond"))
-        new = materialize(step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("beyond", "low")).alias("root"), (F.least("low", F.coalesce("beyond", "low")) < F.col("root")).alias("moved")), "simhash-labels")
+        met = step.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
+        least = F.least("low", "beyond")
+        new = materialize(join_hot(step, jump, "low", met).select("node", least.alias("root"), (least < F.col("root")).alias("moved")), "simhash-labels")
         moved = new.where("moved").limit(1).count()
         discard(labels)
+        discard(step)
         labels = new
         if not moved:
             discard(edges)
             return labels.select("node", "root")
-    raise RuntimeError("the components did not settle")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, root (a fingerprint of the component), component_id for each row of docs, and h1, h2 of the text."""
-    h1, h2 = text_hashes(F.coalesce(F.col("text"), F.lit("")))
-    rows = materialize(fingerprints(docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")), "simhash-rows")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+def _members(rows: DataFrame) -> DataFrame:
+    """rows (with doc_id and fp) with root, a fingerprint of the row's component, and component_id."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     labels = components(find_links(distinct))
     # one row for each distinct fingerprint, with its component's smallest doc_id
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(members, "fp")
+    rooted = materialize(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    members = join_hot(rooted.select("fp", "root"), least.drop("n"), "root", least.select("root", "n")).select("fp", "root", "component_id")
+    return join_hot(rows, members, "fp", distinct.select("fp", "n"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root (a fingerprint of the component) and component_id for each row of docs."""
+    for_texts(docs.sparkSession)
+    return _members(materialize(fingerprints(docs.select("doc_id", "text")), "simhash-rows")).select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with all its columns: of each component one row stays, that with the smallest doc_id (the first text hash on ties)."""
-    found = near_duplicates(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("t")
-    keep = found.groupBy("root").agg(first).select(F.col("t.doc_id").alias("_id"), F.col("t.h1").alias("_h1"), F.col("t.h2").alias("_h2"))
-    row = docs.select(F.struct("*").alias("_row"))
+    """docs with all its columns: of each component one row stays, that with the smallest doc_id; on ties the first by text hash, then by place.
+
+    The texts are read once for the fingerprints, and once more to be met by the addresses of the rows that stay.
+    """
+    for_texts(docs.sparkSession)
+    rows = addressed(docs)
     h1, h2 = text_hashes(F.coalesce(F.col("_row.text"), F.lit("")))
-    row = row.withColumns({"_a": h1, "_b": h2})
-    row = row.withColumn("_own", F.col("_row.doc_id")).dropDuplicates(["_a", "_b", "_own"])  # equal rows are combined in the tasks
-    same = (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")) & F.col("_own").eqNullSafe(F.col("_id"))
-    return row.join(keep, same).select("_row.*")
+    narrow = rows.select(F.col("_row.doc_id").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), *ADDRESS, F.col("_row.text").alias("text"))
+    found = _members(materialize(fingerprints(narrow), "simhash-rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2", *ADDRESS)).alias("t")
+    keep = found.groupBy("root").agg(first).select(*[F.col(f"t.{c}").alias(c) for c in ADDRESS])
+    return pick(rows, keep).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
