@@ -4,21 +4,24 @@ Base: email, ip, card and phone spans by fixed patterns, leftmost and non-overla
 (parts over 255, Luhn, number of digits) is dropped. Base spans always stay.
 
 The method adds spans. Looser patterns propose candidates that the base does not cover: spelled-out mail addresses,
-phone numbers without a plus, grouped or short card numbers, IPv6-like groups, names after a title or a cue, and secrets after a key
-word. Labelers vote on each candidate, +1, -1 or abstain:
+phone numbers without a plus, card numbers that the base misses (13 digits, or inside a longer run), IPv6-like groups, names after a
+title or a cue, and secrets after a key word or with a known prefix. A card candidate must pass Luhn. Labelers vote on each candidate,
++1, -1 or abstain:
 
-* regex labelers judge the candidate's form (digit counts, checksum, grouping, domain endings);
-* gazetteer labelers look for its words in small fixed lists (given names, titles, mail providers);
+* regex labelers judge the candidate's form (digit counts, grouping, dates, domain endings);
+* gazetteer labelers look for its parts in small lists (given names, mail providers, issuer digits, address and key prefixes);
 * context labelers look at the words before and after it.
 
-One pass over all documents counts the vote patterns (at most 3^labelers rows for each kind, so the table is bounded). On that table
-expectation-maximisation estimates each labeler's reliability and the prior, and a logistic span classifier is trained on the resulting
-probabilities, with the votes and their agreement as features. A second pass adds the candidates that the classifier
-accepts. Both models come from the counts of the whole corpus.
+One pass reads the texts and writes each row's base spans and candidates, the latter with their votes and hashed features; no
+text is read again. Expectation-maximisation over the counts of all vote patterns (at most 3^labelers a kind) estimates each
+labeler's reliability, which may come out below chance. The posteriors are the labels of the final span classifier, a
+logistic regression for each kind over hashed features of the span and its context: its shape, length, characters and words, and the
+words beside it. It is fitted on at most EXAMPLES distinct candidates of a kind, drawn by a hash and weighted by their counts in the
+whole corpus. A candidate that it accepts becomes a span.
 
 Cases: a null text is the empty text; spans are code points, end exclusive; a text without candidates has only base spans; repeated
 rows count as rows; an empty table gives an empty result. Overlaps: a candidate that overlaps a base span or an earlier accepted span
-is left out.
+is left out. Runs of digits and keys of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import materialize
+
 #: The order of kinds in a digest.
 KINDS = ("email", "ip", "card", "phone", "name", "secret")
 BASE = KINDS[:4]
@@ -58,6 +63,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of the mail pattern; linear in the text, as only the characters around each @ are read."""
     out, done, at = [], 0, text.find("@")
@@ -77,7 +87,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [("email", *x) for x in emails(text)]
     if _has_digit(text):
         for m in _ip.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(_octet(p) for p in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in _card.finditer(text):
             digits = _not_digit.sub("", m[0]) if m.end() - m.start() < 64 else ""
@@ -103,25 +113,42 @@ def _has_digit(text: str) -> bool:
 
 # --- candidates -----------------------------------------------------------------------------------------------------------------
 
-#: Gazetteers (small fixed lists of this engine).
-GIVEN_NAMES = frozenset("anna ben carla carlos claire david elena emma eva felix hans ines ivan jan jane john jose julia karl laura lea lena louis lucas maria marie mark martin mary max michael miguel paul peter pierre robert sara sofia thomas tom".split())
-TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame mme señor señora sr sra".split())
-PROVIDERS = frozenset("gmail hotmail outlook yahoo example mail icloud proton gmx web".split())
+#: Gazetteers by name: small lists of this engine, which a caller may replace by larger ones.
+GAZETTEERS: dict[str, frozenset[str]] = {
+    "given": frozenset(
+        """alice anders andrea andrew anita anna anne antonio barbara beatriz ben bernd bruno camille carla carlos carmen caroline charles charlotte chloe christian christine claire clara
+claudia daniel david diego elena eleanor elisabeth emily emma erik eva felix fernando francesca francisco frank franz george gabriel hannah hans heidi helen helena henri henry ines ingrid isabel
+ivan jack jacques james jan jane javier jean jennifer jens john jonas jorge jose josef julia julie juliette jurgen karen karin karl katharina kevin klaus laura lea lena linda louis louise lucas
+lucia luis lukas manuel marc marco margaret maria marie mario mark markus marta martin mary matthias max michael miguel monica nathalie nicolas nina olivia oscar pablo patricia patrick paul
+pedro peter philipp pierre rachel rafael ralf richard robert rosa ruth sabine samuel sandra sara sarah sebastian silvia simon sofia sophie stefan stephanie susan susanne sven teresa thomas tim
+tobias tom ursula victor victoria walter werner william wolfgang yves""".split()
+    ),
+    "titles": frozenset("mr mrs ms dr prof herr frau monsieur madame mme señor señora sr sra".split()),
+    "providers": frozenset("gmail googlemail hotmail outlook live yahoo aol example mail icloud proton protonmail gmx web orange free laposte terra telefonica fastmail zoho".split()),
+    "issuers": frozenset("34 36 37 38 39 30 35 4 51 52 53 54 55 22 23 24 25 26 27 60 62 64 65".split()),
+    "address": frozenset("2001 2003 2400 2600 2604 2607 2620 2800 2a00 2a01 2a02 2a03 2c0f fd00 fe80 fc00 ff02".split()),
+    "keys": frozenset("AKIA ASIA AIza ghp_ gho_ ghs_ glpat xoxb xoxp sk_live sk- pk_live eyJ SG. ya29 EAAC".split()),
+}
 CUES = {
-    "email": frozenset("email mail e-mail contact address adresse correo courriel".split()),
-    "ip": frozenset("ip host server address ipv6 dns gateway".split()),
-    "card": frozenset("card visa mastercard amex credit karte carte tarjeta iban".split()),
-    "phone": frozenset("phone tel telephone call mobile fax cell telefon téléphone teléfono handy".split()),
-    "name": frozenset("name named signed author contact by from regards sincerely nom nombre".split()),
-    "secret": frozenset("token secret password passwd key api apikey pwd credential".split()),
+    "email": frozenset("email mail e-mail contact address adresse correo courriel write".split()),
+    "ip": frozenset("ip host server address ipv6 dns gateway router subnet".split()),
+    "card": frozenset("card visa mastercard amex credit debit karte carte tarjeta kreditkarte".split()),
+    "phone": frozenset("phone tel telephone call mobile fax cell telefon téléphone teléfono handy number".split()),
+    "name": frozenset("name named signed author contact by from regards sincerely nom nombre dear".split()),
+    "secret": frozenset("token secret password passwd key api apikey pwd credential bearer auth authorization".split()),
 }
+_NAME = r"[A-ZÀ-Þ][a-zß-ÿ]{1,30}"
 _LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\sdot\s|\.)\s?[A-Za-z0-9-]{2,63}){1,4}\b"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2,3}[ -]?[0-9]{1,7}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9.+(])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}[ .-][0-9]{3,6}(?![0-9.])"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\b\.? [A-ZÀ-Þ][a-zß-ÿ]{1,30}(?: [A-ZÀ-Þ][a-zß-ÿ]{1,30})?"),
-    "secret": re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{8,}+)"),
+    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9.+(])(?:\+[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{2,4}[ .-][0-9]{3,6}(?![0-9.])"),
+    "name": re.compile(
+        rf"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\b\.? ()|(?:[Nn]ame|[Cc]ontact|[Aa]uthor|[Ss]igned|[Rr]egards|[Ss]incerely|[Nn]om|[Nn]ombre)(?: is|:|,) ?\n?)({_NAME}(?: {_NAME}){{0,2}})"
+    ),
+    "secret": re.compile(
+        r"(?:\b(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|[Aa]pi[_-]?[Kk]ey|API_KEY|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?|\b[Bb]earer |\b(?=(?:AKIA|ASIA|AIza|gh[pos]_|glpat-|xox[bp]-|sk_live|eyJ)[A-Za-z0-9]))([A-Za-z0-9+/_=-]{8,}+)"
+    ),
 }
 #: Substrings of which a text must have one to hold a candidate of the kind at all; finding them is far cheaper than a pattern.
 _MAY = {
@@ -129,23 +156,33 @@ _MAY = {
     "ip": (":",),
     "card": ("",),
     "phone": ("",),
-    "name": ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor"),
-    "secret": ("token", "secret", "passw", "api", "pwd"),
+    "name": ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "ame", "ontact", "uthor", "igned", "egards", "incerely", "om"),
+    "secret": ("oken", "TOKEN", "ecret", "SECRET", "assw", "PASSW", "pi", "API", "pwd", "earer", "AKIA", "ASIA", "AIza", "gh", "glpat", "xox", "sk_", "eyJ"),
 }
 _word = re.compile(r"[^\W\d_]+")
+_date = re.compile(r"\(?(?:[0-3]?[0-9][ .-][0-3]?[0-9][ .-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ .-].*)")
 NEAR = 40
 
 
+def _span_of(kind: str, m: re.Match) -> tuple[int, int]:
+    if kind == "secret":
+        return m.span(1)
+    if kind == "name" and m[1] is None:  # after a cue, the name alone; a title belongs to the name
+        return m.span(2)
+    return m.span()
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Loose matches that no base span overlaps, by start."""
+    """Loose matches that no base span overlaps, by start. Cards pass Luhn."""
     out: list[Span] = []
     digits = _has_digit(text)
     for kind, loose in _LOOSE.items():
         if kind in ("card", "phone") and not digits or not any(x in text for x in _MAY[kind]):
             continue
         for m in loose.finditer(text):
-            begin, end = m.span(1) if kind == "secret" else m.span()
-            out.append((kind, begin, end))
+            if kind == "card" and not (13 <= len(d := _not_digit.sub("", m[0])) <= 19 and luhn(d)):
+                continue
+            out.append((kind, *_span_of(kind, m)))
     if not out:
         return out
     starts, ends = _merged(base)
@@ -173,139 +210,212 @@ def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
 LABELERS = ("form", "strict_form", "gazetteer", "cue_before", "cue_near", "plain_context")
 
 
-def votes(text: str, span: Span) -> tuple[int, ...]:
+def _sign(yes: bool) -> int:
+    return 1 if yes else -1
+
+
+def votes(text: str, span: Span, lists: Mapping[str, frozenset[str]] = GAZETTEERS) -> tuple[int, ...]:
     """One vote of +1, -1 or 0 (abstain) for each labeler."""
     kind, begin, end = span
     body = text[begin:end]
-    digits = _not_digit.sub("", body)
     before, after = text[max(0, begin - NEAR) : begin], text[end : end + NEAR]
-    words = [w.lower() for w in _word.findall(body)]
+    words = [w.lower() for w in _word.findall(body[:200])]
     near = [w.lower() for w in _word.findall(before)]
-    last = near[-3:]
-    form = strict = 0
+    gazetteer = 0
     if kind == "email":
-        form = 1 if "(at)" in body or "[at]" in body else -1
-        strict = 1 if words and len(words[-1]) in (2, 3, 4) and words[-1] in ("com", "org", "net", "edu", "de", "fr", "es", "io", "uk") else -1
+        form = _sign("(at)" in body or "[at]" in body)
+        strict = _sign(bool(words) and words[-1] in ("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "io", "uk", "eu", "ch", "at"))
+        gazetteer = int(not lists["providers"].isdisjoint(words))
     elif kind == "ip":
-        form = 1 if body.count(":") == 7 else -1
-        strict = 1 if re.search("[a-fA-F]", body) and re.search("[0-9]", body) else -1
+        form = _sign(body.count(":") == 7)
+        strict = _sign(any(c in "abcdefABCDEF" for c in body) and _has_digit(body))
+        gazetteer = int(body.split(":")[0].lower() in lists["address"])
     elif kind == "card":
-        form = 1 if 13 <= len(digits) <= 19 else -1
-        strict = 1 if luhn(digits) and digits[:1] in ("3", "4", "5", "6") else -1
+        digits = _not_digit.sub("", body)
+        form = _sign(len(digits) in (13, 15, 16))
+        strict = _sign(len({len(g) for g in re.split("[ .-]", body)}) == 1)
+        gazetteer = _sign(any(digits.startswith(x) for x in lists["issuers"]))
     elif kind == "phone":
-        form = 1 if 9 <= len(digits) <= 11 else -1
-        strict = 1 if "(" in body else 0
+        form = _sign(9 <= len(_not_digit.sub("", body)) <= 11)
+        strict = -1 if _date.fullmatch(body) else int("(" in body)
+        gazetteer = int(body.startswith("0"))
     elif kind == "name":
-        form = 1 if len(words) >= 3 else 0
-        strict = 1 if words and words[0] in TITLES else -1
+        form = int(len(words) >= 2)
+        strict = _sign(bool(words) and words[0] in lists["titles"] or ":" in before[-3:])
+        gazetteer = int(not lists["given"].isdisjoint(words))
     else:
-        form = 1 if len(body) >= 16 else -1
-        strict = 1 if re.search("[0-9]", body) and re.search("[A-Za-z]", body) else -1
-    lists = {"email": PROVIDERS, "name": GIVEN_NAMES, "secret": frozenset(), "ip": frozenset(), "card": frozenset(), "phone": frozenset()}[kind]
-    gazetteer = 1 if any(w in lists for w in words) else 0
-    cue = 1 if any(w in CUES[kind] for w in last) else 0
-    close = 1 if any(w in CUES[kind] for w in [*near, *(w.lower() for w in _word.findall(after))]) else 0
+        form = _sign(len(body) >= 16)
+        strict = _sign(_has_digit(body) and _word.search(body) is not None)
+        gazetteer = int(any(body.startswith(x) for x in lists["keys"]))
+    led = kind == "secret" or kind == "name" and not (words and words[0] in lists["titles"])  # a cue proposed it, and is no second witness
+    cue = int(not led and not CUES[kind].isdisjoint(near[-3:]))
+    close = int(not CUES[kind].isdisjoint(near[:-2] if led else near) or not CUES[kind].isdisjoint(w.lower() for w in _word.findall(after)))
     plain = -1 if re.search(r"[0-9]\s*$", before) or re.match(r"\s*[0-9%€$]", after) else 0
     return form, strict, gazetteer, cue, close, plain
 
 
+#: Hashed features of a candidate.
+FEATURES = 1 << 12
+_SHAPE = str.maketrans({**{c: "0" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
+_runs = re.compile(r"(.)\1+", re.S)
+
+
+def features(text: str, span: Span) -> list[int]:
+    """What the classifier sees of a span and its context, as distinct numbers below FEATURES."""
+    kind, begin, end = span
+    body = text[begin:end]
+    head = body[:64]
+    shape = head.translate(_SHAPE)
+    short = _runs.sub(r"\1+", shape)
+    before, after = text[max(0, begin - NEAR) : begin], text[end : end + NEAR]
+    near, then = _word.findall(before.lower()), _word.findall(after.lower())
+    seen = ["bias", f"shape {short[:24]}", f"ends {short[:2]} {short[-2:]}", f"length {min(64, end - begin) // 4}", f"begin {head[:2]}"]
+    seen += [f"has {c}" for c in "0aA-_.:+/=() " if c in shape]
+    seen += [f"distinct {len(set(head)) // 4}", f"left {before[-1:].translate(_SHAPE)}", f"right {after[:1].translate(_SHAPE)}"]
+    seen += [f"word {w.lower()}" for w in _word.findall(head)[:4]]
+    seen += [f"before {w}" for w in near[-4:]] + [f"last {near[-1] if near else ''}", f"next {then[0] if then else ''}"] + [f"after {w}" for w in then[:3]]
+    return sorted({crc32(f"{kind} {x}".encode()) % FEATURES for x in seen})
+
+
 # --- models ---------------------------------------------------------------------------------------------------------------------
 
+#: Distinct candidates of a kind that the classifier is fitted on at most.
+EXAMPLES = 20_000
 
-class SpanModel:
-    """Reliabilities by EM over vote patterns, and a logistic classifier trained on their posteriors."""
 
-    def __init__(self, counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50, steps: int = 400):
-        self.kinds: dict[str, dict] = {}
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Labels:
+    """Reliabilities of the labelers of a kind, by EM over vote patterns and their counts."""
+
+    def __init__(self, counts: Mapping[tuple[int, ...], int], rounds: int = 50):
+        v = np.array(list(counts), float).reshape(len(counts), -1)
+        n = np.array(list(counts.values()), float)
+        self.prior, self.right = 0.5, np.full(v.shape[1], 0.8)
+        for _ in range(rounds):
+            post = self.posterior(v)
+            agree = (v > 0) * post[:, None] + (v < 0) * (1 - post[:, None])
+            cast = (v != 0) * n[:, None]
+            self.right = ((agree * n[:, None]).sum(axis=0) + 8) / (cast.sum(axis=0) + 10)  # a labeler that never votes stays at 0.8
+            self.right = np.clip(self.right, 0.02, 0.98)
+            self.prior = float(np.clip((post @ n + 5) / (n.sum() + 10), 0.05, 0.95))
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """The probability that a candidate with these votes is personal data."""
+        return _sigmoid(math.log(self.prior / (1 - self.prior)) + v @ np.log(self.right / (1 - self.right)))
+
+
+class Classifier:
+    """Logistic regression over hashed features, by full gradients with steps of their own for each weight."""
+
+    def __init__(self, rows: list[list[int]], label: np.ndarray, n: np.ndarray, steps: int = 200):
+        self.w = np.zeros(FEATURES, np.float32)
+        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        col = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+        w, seen = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
+        share = n / max(1.0, float(n.sum()))
+        for _ in range(steps):
+            p = _sigmoid(np.bincount(at, w[col], len(rows)))
+            g = np.bincount(col, (share * (p - label))[at], FEATURES) + 1e-5 * w
+            seen += g * g
+            w -= 0.5 * g / np.sqrt(seen)
+        self.w = w.astype(np.float32)
+
+    def score(self, row: list[int]) -> float:
+        return float(_sigmoid(np.float64(self.w[row].sum())))
+
+
+class SpanModel:
+    def __init__(self, counts: Mapping[tuple[str, tuple[int, ...]], int], examples: list[tuple[str, tuple[int, ...], list[int], int]]):
+        """counts: of (kind, votes) in the whole corpus; examples: kind, votes, features, count."""
+        self.labels: dict[str, Labels] = {}
+        self.classifier: dict[str, Classifier] = {}
         for kind in KINDS:
-            table = sorted((v, n) for (k, v), n in counts.items() if k == kind)
-            if not table:
+            own = {v: n for (k, v), n in sorted(counts.items()) if k == kind}
+            if not own:
                 continue
-            v = np.array([x for x, _ in table], float)
-            n = np.array([c for _, c in table], float)
-            prior, right = 0.5, np.full(v.shape[1], 0.8)
-            for _ in range(rounds):
-                post = self._posterior(v, prior, right)
-                agree = (v > 0) * post[:, None] + (v < 0) * (1 - post[:, None])
-                cast = (v != 0) * n[:, None]
-                right = np.clip(((agree * n[:, None]).sum(axis=0) + 8) / (cast.sum(axis=0) + 10), 0.55, 0.99)  # better than chance
-                prior = float(np.clip((post @ n + 5) / (n.sum() + 10), 0.05, 0.95))
-            post = self._posterior(v, prior, right)
-            x = self._features(v)
-            w = np.zeros(x.shape[1])
-            share = n / n.sum()
-            for _ in range(steps):
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                w -= 0.8 * (x.T @ (share * (p - post)) + 1e-4 * w)
-            self.kinds[kind] = {"prior": prior, "right": right, "w": w}
-
-    @staticmethod
-    def _posterior(v: np.ndarray, prior: float, right: np.ndarray) -> np.ndarray:
-        odds = math.log(prior / (1 - prior)) + v @ np.log(right / (1 - right))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-
-    @staticmethod
-    def _features(v: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.ones((len(v), 1)), v, (v > 0).sum(axis=1, keepdims=True) / v.shape[1], (v < 0).sum(axis=1, keepdims=True) / v.shape[1]], axis=1)
-
-    def score(self, kind: str, v: tuple[int, ...]) -> float:
-        model = self.kinds.get(kind)
-        if model is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self._features(np.array([v], float)) @ model["w"], -30, 30)))[0])
-
-    def accepted(self) -> set[tuple[str, tuple[int, ...]]]:
-        """The classifier as the set of vote patterns that it accepts: there are at most 3^labelers of them for each kind."""
-        import itertools
-
-        return {(k, v) for k in self.kinds for v in itertools.product((-1, 0, 1), repeat=len(LABELERS)) if self.score(k, v) >= 0.5}
-
-
-def vote_counts(docs: DataFrame) -> DataFrame:
-    """kind, votes, n over all documents."""
+            self.labels[kind] = Labels(own)
+            rows = [(v, f, n) for k, v, f, n in examples if k == kind]
+            post = self.labels[kind].posterior(np.array([v for v, _, _ in rows], float).reshape(len(rows), -1))
+            self.classifier[kind] = Classifier([f for _, f, _ in rows], post, np.array([n for _, _, n in rows], float))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                if text:
-                    seen.update((s[0], votes(text, s)) for s in candidates(text, base_spans(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([list(v) for _, v in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], ["kind", "votes", "n"])
+    def accepts(self, kind: str, row: list[int]) -> bool:
+        return kind in self.classifier and self.classifier[kind].score(row) >= 0.5
 
-    return docs.select("text").mapInArrow(run, "kind string, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
 
+SPAN = "array<struct<kind:string,start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+FOUND = "array<struct<kind:string,start:int,end:int,votes:array<int>,features:array<int>>>"
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))]))
 
-def fit(docs: DataFrame) -> SpanModel:
-    return SpanModel({(r.kind, tuple(r.votes)): r.n for r in vote_counts(docs).collect()})  # bounded by the number of vote patterns
 
+def _span_column(rows: list[list[Span]]) -> pa.Array:
+    return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in r] for r in rows], _SPANS)
 
-def all_spans(text: str, accepted: set) -> tuple[list[Span], list[Span]]:
-    """Base spans, and base and added spans, both by start and kind."""
-    base = base_spans(text)
-    out, done = list(base), 0
-    for s in candidates(text, base):
-        if s[1] >= done and (s[0], votes(text, s)) in accepted:
-            out.append(s)
-            done = s[2]
-    return base, sorted(out, key=_order)
 
+def scan(docs: DataFrame, lists: Mapping[str, frozenset[str]] = GAZETTEERS) -> DataFrame:
+    """doc_id, base, found (candidates with votes and features) for each row of docs: the one pass over the texts."""
 
-SPAN = "array<struct<kind:string,start:int,end:int>>"
-_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            base, found = [], []
+            for text in b.column("text").to_pylist():
+                own = base_spans(text) if text else []
+                base.append(own)
+                found.append([{"kind": s[0], "start": s[1], "end": s[2], "votes": votes(text, s, lists), "features": features(text, s)} for s in candidates(text, own)] if text else [])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _span_column(base), pa.array(found, _FOUND)], ["doc_id", "base", "found"])
 
+    d = docs.select("doc_id", "text")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, base {SPAN}, found {FOUND}")
+
+
+def fit(scanned: DataFrame, examples: int = EXAMPLES) -> SpanModel:
+    """Counts of vote patterns over the whole table, and a bounded draw of distinct candidates; the driver holds no more."""
+    spark = scanned.sparkSession
+    rows = scanned.where(F.size("found") > 0).select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.features")
+    rows = materialize(rows.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")), "pii-examples")
+    table = rows.groupBy("kind", "votes").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # 3^labelers a kind at most
+    if not table:
+        return SpanModel({}, [])
+    distinct: dict[str, int] = {}
+    for r in table:
+        distinct[r.kind] = distinct.get(r.kind, 0) + r.rows
+    share = spark.createDataFrame([(k, min(1.0, 1.2 * examples / n)) for k, n in distinct.items()], "kind string, share double")
+    rank = F.pmod(F.xxhash64(F.lit(3), "kind", "votes", "features"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.withColumn("rank", rank).join(F.broadcast(share), "kind").where("rank < share").collect()  # about 1.2 x examples a kind, each a distinct candidate
+    taken: dict[str, int] = {}
+    use = []
+    for r in sorted(drawn, key=lambda r: (r.rank, r.kind, r.votes, r.features)):
+        taken[r.kind] = taken.get(r.kind, 0) + 1
+        if taken[r.kind] <= examples:
+            use.append((r.kind, tuple(r.votes), r.features, r.n))
+    return SpanModel({(r.kind, tuple(r.votes)): r.n for r in table}, use)
+
+
+def added(base: list[Span], found: list[dict], model: SpanModel) -> list[Span]:
+    """Base spans and the accepted candidates, by start and kind; of overlapping candidates the first."""
+    out, done = list(base), 0
+    for c in found:
+        if c["start"] >= done and model.accepts(c["kind"], c["features"]):
+            out.append((c["kind"], c["start"], c["end"]))
+            done = c["end"]
+    return sorted(out, key=_order)
 
-def find_pii(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
+
+def find_pii(docs: DataFrame, model: SpanModel | None = None, lists: Mapping[str, frozenset[str]] = GAZETTEERS) -> DataFrame:
     """doc_id, base, spans (arrays of kind, start, end) for each row of docs."""
-    accepted = (model or fit(docs)).accepted()
+    scanned = materialize(scan(docs, lists), "pii-found")
+    model = model or fit(scanned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [all_spans(t, accepted) if t else ([], []) for t in b.column("text").to_pylist()]
-            columns = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f[i]] for f in found], _ARROW) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "base", "spans"])
+            base = [[(s["kind"], s["start"], s["end"]) for s in r] for r in b.column("base").to_pylist()]
+            spans = [added(own, found, model) for own, found in zip(base, b.column("found").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("base"), _span_column(spans)], ["doc_id", "base", "spans"])
 
-    d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, base {SPAN}, spans {SPAN}")
+    return scanned.mapInArrow(run, f"doc_id {scanned.schema['doc_id'].dataType.simpleString()}, base {SPAN}, spans {SPAN}")
 
 
 def joined(col: str):
@@ -316,4 +426,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
