@@ -13,8 +13,9 @@ words', so that a key or a name spoils no short text. A text of fewer than three
 A language's cut is COVER of the cover that all but 1 % of its training rows reach, each landmark measured against the others. A text
 under the cut of its best language fits none of them: its score is brought below MIN_SCORE, down to 0 for a text without a known n-gram.
 
-The model is fitted on the driver on a bounded sample: at most PER_LANG labelled training rows of each language and LANDMARKS
-landmarks among them, drawn by a hash. Training rows have a non-null text and lang, and crc32 of the id as text is not 0
+The model is fitted on a bounded sample: at most PER_LANG labelled training rows of each language and LANDMARKS
+landmarks among them (more languages than MOST_ROWS / PER_LANG share MOST_ROWS rows), drawn by a hash of id and text. The driver solves
+for the coefficients from the rows' kernel values, which the tasks compute. Training rows have a non-null text and lang, and crc32 of the id as text is not 0
 modulo 5. A prediction uses the text alone.
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text if no row can be learned from; a null id
@@ -30,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import chunks_by_bytes, held_out
+from evidentia.llm.common import chunks_by_bytes, discard, for_texts, held_out, materialize, slices
 
 ORDERS = 3
 BUCKETS = 18
 PER_LANG = 300
 LANDMARKS = 96
 RIDGE = 1e-4
-MAX_LANGS = 2000
+#: Training rows in all, and landmarks, where there are very many languages.
+MOST_ROWS, MOST_LANDMARKS = 600_000, 256
 #: A text may have so much less of its n-grams known than the training rows of its language.
 COVER = 0.75
 #: The pipeline rejects a document whose score is below this: one that fits none of the learned languages.
@@ -113,47 +115,24 @@ def presence(texts: list[str], table: np.ndarray, width: int) -> tuple[np.ndarra
     return seen, n_letters, cover
 
 
-class Model:
-    def __init__(self, rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        """rows: (lang, text), in a random order that doesn't depend on the cluster."""
-        rows = [r for r in rows if any(map(str.isalpha, r[1]))]
-        self.langs = sorted({lang for lang, _ in rows})
-        if not self.langs:
-            return
-        each = max(2, landmarks // len(self.langs))
-        count: dict[str, int] = {}
-        marks, at = [], []
-        for k, (lang, text) in enumerate(rows):
-            count[lang] = count.get(lang, 0) + 1
-            if count[lang] <= each:
-                marks.append(text)
-                at.append(k)
-        used = np.zeros(1 << BUCKETS, bool)
-        for b in buckets(encode(marks)[0]):
-            used[b] = True
-        used[0] = False
+class Landmarks:
+    """The n-grams of the landmark texts as columns, and what a text has of them."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        """marks: the buckets of each landmark's n-grams."""
+        used = np.zeros(1 << BUCKETS, np.int32)
+        for b in marks:
+            used[b] += 1
+        used[0] = 0
         self.table = np.zeros(1 << BUCKETS, np.int32)
-        self.table[used] = np.arange(1, int(used.sum()) + 1)
-        self.width = int(used.sum()) + 1
-        own, _, _ = presence(marks, self.table, self.width)
-        self.marks = own.astype(np.uint8)
-        self.roots = np.sqrt(own.sum(axis=1, dtype=np.float32))
-        w = self.kernel(own).astype(np.float64)
-        c, cover = [], []
-        for i in range(0, len(rows), 64):
-            seen, _, part = presence([t for _, t in rows[i : i + 64]], self.table, self.width)
-            c.append(self.kernel(seen))
-            cover.append(part)
-        c, cover = np.concatenate(c).astype(np.float64), np.concatenate(cover)
-        shared = np.where(own.sum(axis=0) > 1, np.arange(self.width), 0).astype(np.int32)[self.table]  # n-grams of two landmarks
-        cover[at] = np.concatenate([presence(marks[i : i + 64], shared, self.width)[2] for i in range(0, len(marks), 64)])
-        of = np.array([lang for lang, _ in rows])
-        self.cut = np.array([COVER * np.quantile(cover[of == lang], 0.01) for lang in self.langs])
-        y = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
-        n_of = np.array([count[lang] for lang, _ in rows])
-        weight = (len(rows) / len(self.langs) / n_of)[:, None]  # languages weigh the same
-        left = c.T @ (weight * c) + ridge * len(rows) * w + 1e-8 * np.eye(len(w))
-        self.coef = np.linalg.solve(left, c.T @ (weight * y)).astype(np.float32)
+        self.table[used > 0] = np.arange(1, int((used > 0).sum()) + 1)
+        self.shared = np.where(used > 1, self.table, 0).astype(np.int32)  # n-grams of two landmarks
+        self.width = int((used > 0).sum()) + 1
+        self.marks = np.zeros((len(marks), self.width), np.uint8)
+        for row, b in zip(self.marks, marks):
+            row[self.table[b]] = 1
+        self.marks[:, 0] = 0
+        self.roots = np.sqrt(self.marks.sum(axis=1, dtype=np.float32))
 
     def kernel(self, seen: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_dense"):
@@ -163,9 +142,38 @@ class Model:
         root = np.sqrt(x.sum(axis=1))[:, None] * self.roots[None, :]
         return shared / np.maximum(root, 1e-9)
 
+    def see(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kernel values, letters and cover of each text."""
+        seen, n_letters, cover = presence(texts, self.table, self.width)
+        return self.kernel(seen), n_letters, cover
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
+
+def text_buckets(text: str) -> np.ndarray:
+    """The distinct buckets of a text's n-grams: 2^BUCKETS at most, however long the text."""
+    return np.unique(np.concatenate(buckets(encode([text])[0])))
+
+
+class Model:
+    def __init__(self, landmarks: Landmarks | None, langs: list[str], kernel: np.ndarray, cover: np.ndarray, ridge: float = RIDGE):
+        """langs, kernel, cover: of the training rows."""
+        self.langs = sorted(set(langs))
+        if landmarks is None or not self.langs:
+            self.langs = []
+            return
+        self.landmarks = landmarks
+        of = np.searchsorted(self.langs, langs)
+        n_of = np.bincount(of, minlength=len(self.langs))
+        self.cut = np.array([COVER * np.quantile(cover[of == k], 0.01) for k in range(len(self.langs))])
+        y = np.full((len(of), len(self.langs)), -1.0)
+        y[np.arange(len(of)), of] = 1.0
+        c, w = kernel.astype(np.float64), landmarks.kernel(landmarks.marks).astype(np.float64)
+        weight = (len(of) / len(self.langs) / n_of[of])[:, None]  # languages weigh the same
+        left = c.T @ (weight * c) + ridge * len(of) * w + 1e-8 * np.eye(len(w))
+        self.coef = np.linalg.solve(left, c.T @ (weight * y)).astype(np.float32)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UND] * len(texts), [0.0] * len(texts)
         if not self.langs:
@@ -173,8 +181,8 @@ class Model:
         whole = [t or "" for t in texts]
         ranges = [(k, min(j, k + 256)) for i, j in chunks_by_bytes([len(t) for t in whole], 1 << 20) for k in range(i, j, 256)]
         for i, j in ranges:
-            seen, n_letters, cover = presence(whole[i:j], self.table, self.width)
-            f = self.kernel(seen) @ self.coef
+            kernel, n_letters, cover = self.landmarks.see(whole[i:j])
+            f = kernel @ self.coef
             best = f.argmax(axis=1)
             top = np.clip((f.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
             cut = self.cut[best]
@@ -184,36 +192,105 @@ class Model:
         return lang, score
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 3) -> Model:
-    """A model from at most per_lang training rows of each language."""
-    train = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(5))
-    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"at most {MAX_LANGS} languages can be learned")
-    if not counts:
-        return Model([])
+def from_texts(rows: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model:
+    """A model of (lang, text) rows in hand, in a random order."""
+    rows = [r for r in rows if any(map(str.isalpha, r[1]))]
+    if not rows:
+        return Model(None, [], np.zeros((0, 0)), np.zeros(0))
+    at = choose([lang for lang, _ in rows], landmarks)
+    marks = Landmarks([text_buckets(rows[k][1]) for k in at])
+    kernel, _, cover = marks.see([t for _, t in rows])
+    cover[at] = presence([rows[k][1] for k in at], marks.shared, marks.width)[2]
+    return Model(marks, [lang for lang, _ in rows], kernel, cover)
+
+
+def choose(langs: list[str], landmarks: int) -> list[int]:
+    """The first rows of each language, as many of each; of some languages alone where there are more languages than landmarks."""
+    n = len(set(langs))
+    landmarks = max(landmarks, min(2 * n, MOST_LANDMARKS))
+    each = max(1, landmarks // n)
+    count: dict[str, int] = {}
+    at = []
+    for k, lang in enumerate(langs):
+        count[lang] = count.get(lang, 0) + 1
+        if count[lang] <= each and len(at) < landmarks:
+            at.append(k)
+    return at
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 3, landmarks: int = LANDMARKS) -> Model:
+    """A model from at most per_lang training rows of each language, fewer where there are very many languages.
+
+    The drawn rows stay in a written table. The driver gets the n-gram sets of the landmarks (2^BUCKETS numbers each at most) and
+    one kernel row for each training row, never a text.
+    """
     spark = docs.sparkSession
-    # a share of each language's rows by a hash: about 1.5 x per_lang rows each, so nothing is sorted
-    share = spark.createDataFrame([(r.lang, min(1.0, 1.5 * per_lang / r.n)) for r in counts], "lang string, share double")
-    rank = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = train.select("lang", "text", rank.alias("rank")).join(F.broadcast(share), "lang").where("rank < share").select("lang", "rank", "text").distinct().collect()
-    drawn.sort(key=lambda r: (r.rank, r.lang, r.text))
+    train = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(5) & F.col("text").rlike(r"\p{L}"))
+    row = F.xxhash64(F.lit(seed), "doc_id", "text")  # rows that share an id, or a text, are drawn apart
+    counts = train.groupBy("lang").agg(F.approx_count_distinct(row, 0.05).alias("n")).collect()  # one row for each language
+    if not counts:
+        return from_texts([])
+    per_lang = max(2, min(per_lang, MOST_ROWS // len(counts)))
+    # a share of each language's rows by the hash: about 1.5 x per_lang distinct rows, so nothing is sorted
+    share = spark.createDataFrame([(r.lang, min(1.0, 1.5 * per_lang / max(1, r.n))) for r in counts], "lang string, share double")
+    drawn = train.select("lang", "text", row.alias("row")).join(F.broadcast(share), "lang").where(F.pmod("row", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    drawn = materialize(drawn.select("lang", "row", "text"), "lang-drawn")
+    keys = sorted((_rank(r.row), r.lang, r.row) for r in drawn.select("lang", "row").distinct().collect())
     count: dict[str, int] = {}
-    rows = []
-    for r in drawn:
-        count[r.lang] = count.get(r.lang, 0) + 1
-        if count[r.lang] <= per_lang:
-            rows.append((r.lang, r.text))
-    return Model(rows)
+    use = []
+    for _, lang, key in keys:
+        count[lang] = count.get(lang, 0) + 1
+        if count[lang] <= per_lang:
+            use.append((lang, key))
+    at = choose([lang for lang, _ in use], landmarks)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text in zip(b.column("row"), b.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int64()), pa.array([text_buckets(text.as_py())], pa.list_(pa.int32()))], ["row", "buckets"])
+
+    marked = {use[k][1] for k in at}
+    sets_of = {r.row: np.array(r.buckets, np.int32) for r in drawn.where(F.col("row").isin(list(marked))).mapInArrow(sets, "row long, buckets array<int>").collect()}  # a row for each landmark and its copies
+    marks = Landmarks([sets_of[use[k][1]] for k in at])
+    shared = spark.sparkContext.broadcast(marks)
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, texts in slices(b.column("text"), 1 << 20):
+                kernel, _, cover = shared.value.see(texts)
+                other = presence(texts, shared.value.shared, shared.value.width)[2]
+                yield pa.RecordBatch.from_arrays([b.column("lang")[i:j], b.column("row")[i:j], pa.array(list(kernel), pa.list_(pa.float32())), pa.array(cover), pa.array(other)], ["lang", "row", "kernel", "cover", "shared"])
+
+    seen = {(r.lang, r.row): r for r in drawn.dropDuplicates(["lang", "row"]).mapInArrow(see, "lang string, row long, kernel array<float>, cover double, shared double").collect()}
+    shared.destroy()
+    discard(drawn)
+    rows = [seen[k] for k in use]
+    cover = np.array([r.shared if r.row in marked else r.cover for r in rows])
+    return Model(marks, [r.lang for r in rows], np.array([r.kernel for r in rows], np.float32), cover)
+
+
+def _rank(row: int) -> int:
+    return row % (1 << 30)
+
+
+def predict_column(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
+    lang: list[str] = []
+    score: list[float] = []
+    for _, _, texts in slices(column, 1 << 20):
+        a, b = model.predict(texts)
+        lang += a
+        score += b
+    return lang, score
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    for_texts(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # MOST_LANDMARKS sets of 2^BUCKETS n-grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = shared.value.predict(b.column("text").to_pylist())
+            lang, score = predict_column(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     d = docs.select("doc_id", held_out(5).alias("held_out"), "text")
@@ -222,11 +299,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """docs with all its columns, without the rows that are `und` or whose best score is below min_score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    for_texts(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # MOST_LANDMARKS sets of 2^BUCKETS n-grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = shared.value.predict(b.column("text").to_pylist())
+            lang, score = predict_column(shared.value, b.column("text"))
             yield b.filter(pa.array([x != UND and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

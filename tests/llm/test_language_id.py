@@ -2,6 +2,7 @@ import base64
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evidentia.llm import language_id
@@ -40,6 +41,57 @@ def test_nothing_to_learn_from_and_empty(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+ENGLISH = "the cat and the dog sat by the river while it was raining and nobody came to see them there again".split()
+GERMAN = "der hund und die katze lagen am fluss während es regnete und niemand kam um sie dort wieder zu sehen".split()
+
+
+def sentences(seed, n=60):
+    r = random.Random(seed)
+    return [(lang, " ".join(r.choice(words) for _ in range(r.randrange(8, 30)))) for _ in range(n) for lang, words in (("de", GERMAN), ("en", ENGLISH))]
+
+
+def test_rows_of_one_id_are_learned_from(spark):
+    """A table whose rows share an id that is not held out: neither none nor all of the rows are drawn."""
+    for same in (2, 3, 4):
+        assert zlib.crc32(str(same).encode()) % 5
+        df = spark.createDataFrame([(same, t, lang) for lang, t in sentences(same, 400)], "doc_id long, text string, lang string")
+        got = language_id.identify(df, language_id.fit(df, per_lang=50)).join(df, "doc_id").select("lang_pred").distinct().collect()
+        assert {r.lang_pred for r in got} == {"de", "en"}
+
+
+def test_more_languages_than_landmarks(spark):
+    r = random.Random(1)
+    alphabets = ["".join(chr(0x4E00 + 40 * k + i) for i in range(40)) for k in range(300)]
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(4)) for _ in range(20)), f"l{k:03d}") for i, (k, a) in enumerate([(k, a) for k, a in enumerate(alphabets)] * 3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) > 290 and len(model.landmarks.marks) == language_id.MOST_LANDMARKS
+
+
+def test_against_plain_ridge_regression():
+    """The same landmarks and rows with sets of strings, a kernel matrix by loops, and the normal equations."""
+    rows, new = sentences(5), [t for _, t in sentences(6, 20)]
+    model = language_id.from_texts(rows, landmarks=10)
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in text.lower())
+        t = " ".join(t.split())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    marks = [t for lang in ("de", "en") for t in [t for x, t in rows if x == lang][:5]]
+    order = [t for _, t in rows if t in marks]  # as the model has them
+    space = set().union(*map(grams, order))
+    k = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a) & space) * len(grams(b) & space)) ** 0.5
+    c = np.array([[k(t, m) for m in order] for _, t in rows])
+    w = np.array([[k(a, b) for b in order] for a in order])
+    y = np.array([[1.0 if lang == x else -1.0 for x in ("de", "en")] for lang, _ in rows])
+    coef = np.linalg.solve(c.T @ c + language_id.RIDGE * len(rows) * w + 1e-8 * np.eye(len(w)), c.T @ y)
+    f = np.array([[k(t, m) for m in order] for t in new]) @ coef
+    lang, _ = model.predict(new)
+    assert lang == [("de", "en")[i] for i in f.argmax(axis=1)]
+    kernel, _, _ = model.landmarks.see(new)
+    assert np.allclose(kernel @ model.coef, f, atol=0.05)  # n-grams are hashed, so a few share a bucket
+
+
 FOREIGN = [
     "สวัสดีครับ วันนี้อากาศดีมาก เราไปเที่ยวกัน",
     "Сегодня хорошая погода, и мы идём гулять в парк вместе с друзьями",
