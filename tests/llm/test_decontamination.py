@@ -66,3 +66,15 @@ def test_matches_brute_force_in_one_and_many_blocks(spark, monkeypatch):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(x[0]) for x in want if not x[2])
     assert D.find_contamination(d.limit(0), b).count() == 0
     assert all(r.n_hit == 0 for r in D.find_contamination(d, b.limit(0)).collect())
+
+
+def test_a_benchmark_that_is_joined(spark):
+    docs, items = fixture()
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, items string, n_hit int").repartition(3)
+    b = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    want = brute(docs, items)
+    assert sorted((tuple(r) for r in D.find_contamination(d, b, broadcast_bytes=10).collect()), key=repr) == want
+    kept = D.drop_contaminated(d, b, broadcast_bytes=10)
+    assert kept.columns == d.columns
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(x[0]) for x in want if not x[2])
+    assert D.find_contamination(d.limit(0), b, broadcast_bytes=10).count() == 0
