@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import discard, materialize, mix64, text_hashes
+from evidentia.llm.common import ADDRESS, addressed, discard, for_texts, join_hot, materialize, mix64, pick, slices, text_hashes
 
 MIN_DOCS = 10
 SHARD_KEYS = 500_000
@@ -106,15 +106,13 @@ def hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found: list[bytes] = []
-        for text in b.column("text").to_pylist():
-            own = set(keys_of(text)[1])
-            own.discard(b"")
-            found += own
-            if len(found) > 200_000:
-                yield _pairs(found)
-                found = []
-        yield _pairs(found)
+        for _, _, texts in slices(b.column("text")):
+            found: list[bytes] = []
+            for text in texts:
+                own = set(keys_of(text)[1])
+                own.discard(b"")
+                found += own
+            yield _pairs(found)
 
 
 def _pairs(found: list[bytes]) -> pa.RecordBatch:
@@ -144,6 +142,7 @@ def shard_of(a: np.ndarray, n_shards: int) -> np.ndarray:
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for each row of docs."""
+    for_texts(docs.sparkSession)
     frequent = materialize(count_keys(docs, min_docs), "line-keys")
     n_keys = frequent.count()
     n_shards, index = build_index(frequent, n_keys)
@@ -160,14 +159,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_bytes: int
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {k: pickle.loads(v) for k, v in shared.value.items()}
         for batch in batches:
-            split = [keys_of(t) for t in batch.column("text").to_pylist()]
-            a, b = hashes([k for _, keys in split for k in keys])
-            drop = np.zeros(len(a), bool)
-            which = shard_of(a, n_shards)
-            for k, s in shards.items():
-                own = np.flatnonzero(which == k)
-                drop[own] = s.docs(a[own], b[own]) > 0
-            yield _kept(batch.column("doc_id"), split, drop)
+            for i, j, texts in slices(batch.column("text")):
+                split = [keys_of(t) for t in texts]
+                a, b = hashes([k for _, keys in split for k in keys])
+                drop = np.zeros(len(a), bool)
+                which = shard_of(a, n_shards)
+                for k, s in shards.items():
+                    own = np.flatnonzero(which == k)
+                    drop[own] = s.docs(a[own], b[own]) > 0
+                yield _kept(batch.column("doc_id")[i:j], split, drop)
 
     return docs.mapInArrow(rewrite, schema)
 
@@ -186,10 +186,12 @@ def _kept(ids: pa.Array, split: list[tuple[list[bytes], list[bytes]]], drop: np.
 
 
 def _through_shards(docs: DataFrame, index: DataFrame, n_shards: int, schema: str, min_docs: int) -> DataFrame:
-    """The way for an index beyond the broadcast bound. Equal rows share their probes: their lines are the same."""
-    h1, h2 = text_hashes(F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.withColumns({"h1": h1, "h2": h2})
-    rows = docs.dropDuplicates(["h1", "h2"]).select("h1", "h2", "text")
+    """The way for an index beyond the broadcast bound. Equal texts share their probes; rows get the hits of their text by their address."""
+    rows = addressed(docs)
+    h1, h2 = text_hashes(F.coalesce(F.col("_row.text"), F.lit("")))
+    narrow = materialize(rows.select(*ADDRESS, h1.alias("h1"), h2.alias("h2")), "line-rows")
+    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct(*ADDRESS)).alias("a")).select("a.*", "h1", "h2")
+    texts = pick(rows, first).select("h1", "h2", F.col("_row.text").alias("text"))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +202,7 @@ def _through_shards(docs: DataFrame, index: DataFrame, n_shards: int, schema: st
                 one = [pa.array(np.repeat(x, len(at))) for x in (batch.column("h1")[i : i + 1].to_numpy(), batch.column("h2")[i : i + 1].to_numpy())]
                 yield pa.RecordBatch.from_arrays([*one, pa.array(at), *(pa.array(x[at].view(np.int64)) for x in (a, b)), pa.array(shard_of(a[at], n_shards).astype(np.int32))], ["h1", "h2", "pos", "a", "b", "shard"])
 
-    p = materialize(rows.mapInArrow(probes, "h1 long, h2 long, pos long, a long, b long, shard int"), "line-probes")
+    p = materialize(texts.mapInArrow(probes, "h1 long, h2 long, pos long, a long, b long, shard int"), "line-probes")
     salts = p.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBES_PER_TASK).cast("int").alias("salts"))
     index = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "index")
     p = p.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("h1", "pos"), F.col("salts")).cast("int"))  # n_shards rows at most
@@ -214,6 +216,10 @@ def _through_shards(docs: DataFrame, index: DataFrame, n_shards: int, schema: st
 
     hits = p.select("h1", "h2", "pos", "a", "b", "shard", "salt").groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInArrow(look, "h1 long, h2 long, pos long")
     hits = hits.groupBy("h1", "h2").agg(F.collect_list("pos").alias("gone"))  # at most the lines of one text
+    # the copies of a text may be a third of the rows; a clash of 64 bits gives two texts a key, told apart by the other half
+    by_key = hits.groupBy("h1").agg(F.collect_list(F.struct("h2", "gone")).alias("texts"))
+    met = join_hot(narrow, by_key, "h1", narrow.groupBy("h1").agg(F.count(F.lit(1)).alias("n"))).withColumn("own", F.filter("texts", lambda x: x["h2"] == F.col("h2")))
+    met = met.where(F.size("own") > 0).select(*ADDRESS, F.col("own")[0]["gone"].alias("gone"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +231,8 @@ def _through_shards(docs: DataFrame, index: DataFrame, n_shards: int, schema: st
                 drop.append(flags)
             yield _kept(batch.column("doc_id"), split, np.concatenate(drop) if drop else np.zeros(0, bool))
 
-    return docs.join(hits, ["h1", "h2"], "left").select("doc_id", "text", "gone").mapInArrow(rewrite, schema)
+    out = rows.join(met.hint("shuffle_hash"), ADDRESS, "left")
+    return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "gone").mapInArrow(rewrite, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -235,11 +242,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, i, x[i] AS line,
+  SELECT r, doc_id, i, x[i] AS line,
          translate(trim(x[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents) t, unnest(range(1, len(x) + 1)) AS u(i)),
-often AS (SELECT k FROM lines WHERE length(k) > 0 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents) t, unnest(range(1, len(x) + 1)) AS u(i)),
+often AS (SELECT k FROM lines WHERE length(k) > 0 GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM often)) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (SELECT k FROM often)), '')) AS kept_sha256
-FROM lines GROUP BY doc_id
+FROM lines GROUP BY r, doc_id
 """
