@@ -15,9 +15,11 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
+    "quality_ablations": quality_rules.ablation_query,
 }
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "quality_ablations": quality_rules.ABLATION_ORACLE,
 }
