@@ -14,9 +14,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from evidentia.llm.common import chunks_by_bytes
+from evidentia.llm.common import chunks_by_bytes, for_texts, slices
 
 #: White space other than space and newline, with characters that some Unicode versions count as white space.
 ODD = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -43,7 +44,7 @@ def _tokenizer(path: str):
 def encode_lengths(tok, parts: list[str]) -> list[int]:
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
     out: list[int] = []
-    for i, j in chunks_by_bytes([len(p) for p in parts], BATCH_BYTES):
+    for i, j in chunks_by_bytes([len(p.encode()) for p in parts], BATCH_BYTES):
         out += [len(e) for e in encode(parts[i:j], add_special_tokens=False)]
     return out
 
@@ -78,6 +79,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each whole text."""
+    for_texts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -85,12 +87,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         count = counter(tokenizer_path)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            sizes = [len(t.encode()) for t in texts]
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0)
             n: list[int] = []
-            for i, j in chunks_by_bytes(sizes, 1 << 21):
-                n += count(texts[i:j])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for _, _, texts in slices(b.column("text")):
+                n += count([t or "" for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes.cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     d = docs.select("doc_id", "text")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
