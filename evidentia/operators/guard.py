@@ -6,6 +6,8 @@ check compares only instruction-like sentences without a rule finding; its IDF i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +46,32 @@ def local_similarity(records: DataFrame) -> DataFrame:
     return cos.withColumn("b", best).where("b = 1").select("qid", "ord", "sim", "example")
 
 
-def _semantic(records: DataFrame) -> DataFrame:
+#: records (qid, ord, text) to qid, ord, sim, example, detector of those that are like an attack.
+Likeness = Callable[[DataFrame], DataFrame]
+
+
+def by_terms(records: DataFrame) -> DataFrame:
+    return local_similarity(records).where(F.col("sim") >= V.LOCAL_THRESHOLD).withColumn("detector", F.lit("local semantic"))
+
+
+def _semantic(records: DataFrame, likeness: Likeness) -> DataFrame:
     """Semantic findings among records (qid, ord, text, rule): the first 24 candidates of each query."""
     like = records.where(F.col("rule").isNull() & T.instruction_like(F.col("text")))
     like = like.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("ord"))).where(F.col("n") <= V.MAX_SEMANTIC)
-    return local_similarity(like.select("qid", "ord", "text")).where(F.col("sim") >= V.LOCAL_THRESHOLD)
+    return likeness(like.select("qid", "ord", "text"))
 
 
-def question_findings(queries: DataFrame) -> DataFrame:
+def question_findings(queries: DataFrame, likeness: Likeness = by_terms) -> DataFrame:
     """qid, reason, score, detector: at most one finding for each question; user rules over rules over likeness."""
     q = queries.select("qid", F.col("question").alias("text"), F.lit(0).alias("ord"))
     q = q.withColumn("user", first_reason(F.col("text"), V.USER_RULES)).withColumn("rule", F.when(T.strip(F.col("text")) != "", first_reason(F.col("text"), V.RULES)))
-    q = q.join(_semantic(q), ["qid", "ord"], "left")
+    q = q.join(_semantic(q, likeness), ["qid", "ord"], "left")
     like = F.concat(F.lit("Semantically similar to prompt-injection behavior: "), F.col("example"))
     out = q.select(
         "qid",
         F.coalesce("user", "rule", like).alias("reason"),
         F.when(F.col("user").isNotNull(), USER_SCORE).when(F.col("rule").isNotNull(), RULE_SCORE).otherwise(F.round("sim", 3)).alias("score"),
-        F.when(F.col("user").isNotNull(), "user rule").when(F.col("rule").isNotNull(), "rule").otherwise("local semantic").alias("detector"),
+        F.when(F.col("user").isNotNull(), "user rule").when(F.col("rule").isNotNull(), "rule").otherwise(F.col("detector")).alias("detector"),
     )
     return out.where("reason IS NOT NULL")
 
@@ -89,11 +99,11 @@ def evidence_records(evidence: DataFrame) -> DataFrame:
     return s.withColumn("ord", ord_).where(F.col("ord") <= V.MAX_SENTENCES).select("qid", "ord", "citation", "source", "chunk_id", "text")
 
 
-def evidence_findings(records: DataFrame) -> DataFrame:
+def evidence_findings(records: DataFrame, likeness: Likeness = by_terms) -> DataFrame:
     """qid, citation, source, text, norm, reason, score, detector: one finding for each citation and normal form."""
     r = records.where(T.strip(F.col("text")) != "").withColumn("rule", first_reason(F.col("text"), V.RULES))
     rules = r.where("rule IS NOT NULL").select("qid", "ord", "citation", "source", "text", F.col("rule").alias("reason"), F.lit(RULE_SCORE).alias("score"), F.lit("rule").alias("detector"))
-    like = r.join(_semantic(r), ["qid", "ord"]).select("qid", "ord", "citation", "source", "text", F.concat(F.lit("Semantically similar to prompt-injection behavior: "), "example").alias("reason"), F.round("sim", 3).alias("score"), F.lit("local semantic").alias("detector"))
+    like = r.join(_semantic(r, likeness), ["qid", "ord"]).select("qid", "ord", "citation", "source", "text", F.concat(F.lit("Semantically similar to prompt-injection behavior: "), "example").alias("reason"), F.round("sim", 3).alias("score"), "detector")
     found = rules.unionByName(like).withColumn("norm", T.normalize_guard(F.col("text")))
     best = F.row_number().over(Window.partitionBy("qid", "citation", "norm").orderBy(F.col("score").desc(), "ord"))
     return found.withColumn("n", best).where("n = 1").drop("n")

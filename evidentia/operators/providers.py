@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import fixed_values as V
-from evidentia.operators import corpus, evidence, retrieval
+from evidentia.functions.tables import materialize, small_side
+from evidentia.operators import corpus, evidence, guard, retrieval
 
 BLOCK_BYTES = 16 << 20
 
@@ -95,67 +96,124 @@ def generate(df: DataFrame, key: str, prompt: str, generator: Generator) -> Data
     return df.select(key, prompt).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, reply string, error string")
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """vectors: id, embedding; queries: qid, embedding. qid, rank, id, score: the k best positive cosines, ties to the smaller id.
-
-    A stated query set against all vectors, in blocks: queries are broadcast in matrices of at most BLOCK_BYTES; each task scores its vectors
-    by matrix products and hands on its k best for each query.
-    """
-    sc = vectors.sparkSession.sparkContext
-    blocks, ids, rows = [], [], []
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    ids: list = []
+    rows: list = []
     for r in queries.select("qid", "embedding").toLocalIterator():
         ids.append(r.qid)
         rows.append(r.embedding)
         if 8 * len(rows) * max(1, len(r.embedding)) >= BLOCK_BYTES:
-            blocks.append(sc.broadcast((ids, np.array(rows, float))))
+            yield ids, np.array(rows, float)
             ids, rows = [], []
     if rows:
-        blocks.append(sc.broadcast((ids, np.array(rows, float))))
+        yield ids, np.array(rows, float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            own = b.column("id").to_numpy(zero_copy_only=False)
-            v = np.stack([np.asarray(x, float) for x in b.column("embedding").to_pylist()])
-            vn = np.linalg.norm(v, axis=1)
-            order = np.argsort(own, kind="stable")
-            own, v, vn = own[order], v[order], vn[order]
-            for shared in blocks:
-                qids, q = shared.value
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.nan_to_num((q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * vn[None, :]))
-                best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, axis=1)
-                use = score > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids), best.shape[1]).reshape(best.shape)[use]), pa.array(own[best][use]), pa.array(score[use])], ["qid", "id", "score"])
 
+def _best(score: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties to the smaller id."""
+    rank = np.searchsorted(np.unique(own), own)
+    order = np.lexsort((rank, -np.round(score, 9)), axis=1)[:, :k]
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(own, order, axis=1)
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vectors: id, embedding; queries: qid, embedding. qid, rank, id, score: the k best positive cosines, ties to the smaller id.
+
+    A stated query set against all vectors, in blocks: one block of queries, of at most BLOCK_BYTES, is broadcast at a time and given up
+    when its results are written. A task scores its vectors by matrix products and hands on its k best for each query.
+    """
+    spark = vectors.sparkSession
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    found = vectors.select("id", "embedding").mapInArrow(run, kinds)
-    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    out = spark.createDataFrame([], kinds).select("qid", F.lit(0).alias("rank"), "id", "score")
+    for block in _query_blocks(queries):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            qn = np.linalg.norm(q, axis=1)[:, None]
+            step = max(1, 4_000_000 // len(q))
+            score = ids = None
+            for b in batches:
+                for i in range(0, b.num_rows, step):
+                    own = b.column("id")[i : i + step].to_numpy(zero_copy_only=False)
+                    v = np.stack([np.asarray(x, float) for x in b.column("embedding")[i : i + step].to_pylist()])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        s = np.nan_to_num((q @ v.T) / (qn * np.linalg.norm(v, axis=1)[None, :]))
+                    own = np.broadcast_to(own, s.shape)
+                    score, ids = _best(s, own, k) if score is None else _best(np.concatenate([score, s], axis=1), np.concatenate([ids, own], axis=1), k)
+            if score is not None:
+                use = score > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids), score.shape[1]).reshape(score.shape)[use]), pa.array(ids[use]), pa.array(score[use])], ["qid", "id", "score"])
+
+        found = vectors.select("id", "embedding").mapInArrow(run, kinds)
+        w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+        out = out.unionByName(materialize(found, "dense-hits"))
+        shared.destroy()
+    return out
 
 
 def build_index(chunks: DataFrame, embedder: Embedder | None = None) -> tuple[retrieval.Index | DataFrame, str, str | None]:
     """The index, its backend and why it fell back: dense (chunk_id, embedding) with an embedder, TF-IDF without or if it fails.
 
-    The embeddings are made here and now, as a lazy failure would escape.
+    The embeddings are made and written here and now, as a lazy failure would escape.
     """
     if embedder is not None:
         try:
-            dense = embed(chunks, "chunk_id", "text", embedder).persist()
-            dense.count()
-            return dense, f"{embedder.name} embeddings", None
+            return materialize(embed(chunks, "chunk_id", "text", embedder), "embeddings"), f"{embedder.name} embeddings", None
         except Exception as e:
-            return retrieval.build_index(chunks), "Local TF-IDF", safe_error(e)
-    return retrieval.build_index(chunks), "Local TF-IDF", None
+            return retrieval.build_index(chunks, write=True), "Local TF-IDF", safe_error(e)
+    return retrieval.build_index(chunks, write=True), "Local TF-IDF", None
 
 
 def search_dense_index(dense: DataFrame, chunks: DataFrame, queries: DataFrame, embedder: Embedder, k: int) -> DataFrame:
     """As retrieval.search, over an index of embeddings."""
     q = embed(queries.select("qid", "question"), "qid", "question", embedder)
-    found = dense_search(dense.withColumnRenamed("chunk_id", "id"), q, k)
-    return found.withColumnRenamed("id", "chunk_id").join(chunks, "chunk_id").select("qid", "rank", *retrieval.CHUNK, "score")
+    found = small_side(dense_search(dense.withColumnRenamed("chunk_id", "id"), q, k).withColumnRenamed("id", "chunk_id"), retrieval.SMALL_SIDE)
+    return chunks.join(found, "chunk_id").select("qid", "rank", *retrieval.CHUNK, "score")
+
+
+_attack_vectors: dict[tuple[str, str], list[list[float]]] = {}
+
+
+def attack_vectors(embedder: Embedder) -> list[list[float]]:
+    """The embeddings of the example attacks, made once for each provider and model."""
+    key = (embedder.name, embedder.model)
+    if key not in _attack_vectors:
+        _attack_vectors[key] = embedder.embed(list(V.ATTACKS))
+    return _attack_vectors[key]
+
+
+def embedded_similarity(records: DataFrame, embedder: Embedder) -> DataFrame:
+    """records: qid, ord, text. qid, ord, sim, example: the best cosine to an example attack (the first on ties), by a provider's embeddings."""
+    attacks = np.array(attack_vectors(embedder), float)
+    norms = np.linalg.norm(attacks, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.array(embedder.embed(b.column("text").to_pylist()), float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.nan_to_num((v @ attacks.T) / (np.linalg.norm(v, axis=1)[:, None] * norms[None, :]))
+            best = np.round(s, 9).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("ord"), pa.array(s[np.arange(len(s)), best]), pa.array([V.ATTACKS[i] for i in best], pa.string())], ["qid", "ord", "sim", "example"])
+
+    kind = lambda c: records.schema[c].dataType.simpleString()
+    return records.select("qid", "ord", "text").mapInArrow(run, f"qid {kind('qid')}, ord {kind('ord')}, sim double, example string")
+
+
+def guard_likeness(embedder: Embedder) -> guard.Likeness:
+    """The guard's likeness by embeddings; by its own terms where the provider fails. Made and written at once, as a lazy failure would escape."""
+
+    def likeness(records: DataFrame) -> DataFrame:
+        try:
+            found = materialize(embedded_similarity(records, embedder), "guard-embeddings")
+        except Exception:
+            return guard.by_terms(records)
+        return found.where(F.col("sim") >= V.EMBEDDING_THRESHOLD).withColumn("detector", F.lit(embedder.name))
+
+    return likeness
 
 
 # --- prompts --------------------------------------------------------------------------------------------------------------------

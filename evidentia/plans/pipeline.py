@@ -18,14 +18,26 @@ from evidentia.settings import Settings
 class KnowledgeBase:
     docs: DataFrame
     chunks: DataFrame
-    index: retrieval.Index
+    index: retrieval.Index | DataFrame
     graph: graph.Graph | None
+    backend: str = "Local TF-IDF"
+    fallback_reason: str | None = None
+    embedder: providers.Embedder | None = None
 
 
-def build(docs: DataFrame, settings: Settings = Settings(), with_graph: bool = True) -> KnowledgeBase:
-    """docs: doc_ord, source, page, text. Chunks, postings, idf, norms and graph are written tables that every later query reads."""
+def build(docs: DataFrame, settings: Settings = Settings(), with_graph: bool = True, embedder: providers.Embedder | None = None) -> KnowledgeBase:
+    """docs: doc_ord, source, page, text. Chunks, index and graph are written tables that every later query reads.
+
+    With an embedder the index is dense; if it fails, the index is TF-IDF, and fallback_reason says why.
+    """
     chunks = materialize(chunking.split_documents(docs, settings.chunk_size, settings.chunk_overlap), "chunks")
-    return KnowledgeBase(docs, chunks, retrieval.build_index(chunks, write=True), graph.build_graph(chunks, write=True) if with_graph else None)
+    index, backend, why = providers.build_index(chunks, embedder)
+    return KnowledgeBase(docs, chunks, index, graph.build_graph(chunks, write=True) if with_graph else None, backend, why, embedder if embedder is not None and why is None else None)
+
+
+def search(kb: KnowledgeBase, queries: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each question, by the knowledge base's own index."""
+    return providers.search_dense_index(kb.index, kb.chunks, queries, kb.embedder, k) if kb.embedder is not None else retrieval.search(kb.index, queries, k)
 
 
 def with_defaults(queries: DataFrame) -> DataFrame:
@@ -40,32 +52,34 @@ def compare(queries: DataFrame) -> DataFrame:
     return with_defaults(queries).withColumn("question", F.concat(F.lit(V.COMPARE_PREFIX), "question")).withColumn("mode", F.lit("Detailed Explanation"))
 
 
-def answer(queries: DataFrame, kb: KnowledgeBase, settings: Settings = Settings(), rewrite: bool = True, expand: bool = False, generator: providers.Generator | None = None, judge: providers.Generator | None = None, strict_headings: bool = False) -> DataFrame:
+def answer(queries: DataFrame, kb: KnowledgeBase, settings: Settings = Settings(), rewrite: bool = True, expand: bool = False, generator: providers.Generator | None = None, judge: providers.Generator | None = None, strict_headings: bool = False, guard_embedder: providers.Embedder | None = None) -> DataFrame:
     """Stages are written tables; each reads what the one before has kept. One row for each query: qid, mode, answer, rewritten_query, evidence (array), warnings (array) and the trust columns.
 
     expand: whether any query may ask for graph-enhanced retrieval; without it that branch is not planned. generator answers in place of
-    the local answer, judge finds conflicts for queries whose conflict_mode isn't the fast one; both fall back to the local way.
+    the local answer, judge finds conflicts for queries whose conflict_mode isn't the fast one; both fall back to the local way; so does guard_embedder, which
+    compares instruction-like sentences with example attacks.
     """
+    likeness = guard.by_terms if guard_embedder is None else providers.guard_likeness(guard_embedder)
     q = with_defaults(queries)
     q = materialize(q, "queries")
-    found = materialize(guard.question_findings(q), "question-findings")
+    found = materialize(guard.question_findings(q, likeness), "question-findings")
     q = materialize(q.join(guard.refuse(q, found), "qid"), "guarded")
     live = q.where(~F.col("refuse")).drop("refuse")
     asked = materialize(corpus.rewrite(live, kb.chunks, rewrite), "asked")
-    search = live.select("qid", "mode").join(asked, "qid").select("qid", F.col("rewritten").alias("question"), "mode")
+    asking = live.select("qid", "mode").join(asked, "qid").select("qid", F.col("rewritten").alias("question"), "mode")
     pool = max(12, settings.max_chunks * 4)
-    hits = materialize(retrieval.search(kb.index, search, pool), "hits")
+    hits = materialize(search(kb, asking, pool), "hits")
     if expand:
         wants = live.where("retrieval_mode = 'Graph-Enhanced RAG'").select("qid")
-        more = graph.enhance(hits.join(wants, "qid", "left_semi"), search.join(wants, "qid", "left_semi"), kb.graph, pool)
+        more = graph.enhance(hits.join(wants, "qid", "left_semi"), asking.join(wants, "qid", "left_semi"), kb.graph, pool)
         hits = hits.join(wants, "qid", "left_anti").unionByName(more)
-    chosen = materialize(retrieval.select_evidence(hits, kb.chunks, search, settings.max_chunks), "chosen")
+    chosen = materialize(retrieval.select_evidence(hits, kb.chunks, asking, settings.max_chunks), "chosen")
     broad = live.where(evidence.is_overview_question(F.col("question"))).select("qid")
     # overview questions that retrieve nothing get the corpus's first chunks
     fallback = broad.join(chosen.select("qid").distinct(), "qid", "left_anti").crossJoin(F.broadcast(retrieval.overview(kb.chunks, settings.max_chunks)))  # max_chunks rows
     chosen = materialize(chosen.unionByName(fallback.select(*chosen.columns)), "evidence")
     records = materialize(guard.evidence_records(chosen), "records")
-    findings = materialize(guard.evidence_findings(records), "findings")
+    findings = materialize(guard.evidence_findings(records, likeness), "findings")
     safe = materialize(guard.sanitize(chosen, records, findings, strict_headings), "safe")
 
     narrow = live.join(broad, "qid", "left_anti")

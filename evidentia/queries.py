@@ -48,10 +48,10 @@ MODES = list(V.ANSWER_MODES)
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first twelve words of each benchmark item as a question; modes in turn."""
+    """Each benchmark item as a question; modes in turn."""
     b = spark.read.parquet(f"{d}/benchmark.parquet")
     mode = F.element_at(T.lit_array(MODES), (F.col("item_id") % 7 + 1).cast("int"))
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"), mode.alias("mode"))
+    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), mode.alias("mode"))
 
 
 def inline_evidence(spark: SparkSession) -> DataFrame:
@@ -262,8 +262,7 @@ def retrieval_hit_at_k(spark, d):
     _, q, h = hits(spark, d, 6)
     b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), "text")
-    relevant = docs.join(b, F.col("text").contains(F.col("passage"))).select("qid", "source")  # a stated query set against all documents
-    return retrieval.hit_at_k(h, relevant, 6)
+    return retrieval.hit_at_k(h, retrieval.holding(docs, b), 6)
 
 
 # --- graph ----------------------------------------------------------------------------------------------------------------------
@@ -289,21 +288,33 @@ S.CTES.update(
             """SELECT src, dst, weight, f.d AS first_doc, f.c AS first_chunk FROM (SELECT a.entity AS src, b.entity AS dst, count(*) AS weight, min({'d': a.doc_ord, 'c': a.chunk_index}) AS f
 FROM ce a JOIN ce b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity GROUP BY ALL) z""",
         ),
-        "gq": (("bq",), f"SELECT qid, question AS text, {S.graph_norm('question')} AS norm FROM bq"),
-        "gm": (("gq", "ce", "bhits"), f"SELECT DISTINCT g.qid, e.entity FROM (SELECT * FROM gq WHERE qid IN (SELECT qid FROM bhits)) g JOIN (SELECT DISTINCT entity FROM ce) e ON contains(g.norm, e.entity) UNION SELECT qid, entity FROM ({_entities_sql('gq', 'qid')}) o WHERE entity IN (SELECT entity FROM ce) AND qid IN (SELECT qid FROM bhits)"),
         "near": (("edges",), "SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, first_doc, first_chunk, dst) AS n FROM edges"),
-        "gb": (
-            ("gm", "near", "ce", "bhits"),
-            """SELECT qid, entity, 0.18::DOUBLE AS boost FROM gm UNION ALL SELECT qid, dst, least(0.10, 0.025 * weight) FROM gm JOIN near ON src = entity AND n <= 6
-UNION ALL SELECT qid, dst, least(0.06, 0.015 * near.weight) FROM bhits JOIN ce USING (chunk_id) JOIN near ON src = entity AND n <= 4 WHERE rank <= 3""",
+    }
+)
+
+
+def _graph_chain(p: str, q: str, found: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """CTEs from questions (qid, question) and their hits to the hits with the graph's boosts; p is the prefix of their names."""
+    return {
+        f"{p}q": ((q,), f"SELECT qid, question AS text, {S.graph_norm('question')} AS norm FROM {q}"),
+        f"{p}m": (
+            (f"{p}q", "ce", found),
+            f"SELECT DISTINCT g.qid, e.entity FROM (SELECT * FROM {p}q WHERE qid IN (SELECT qid FROM {found})) g JOIN (SELECT DISTINCT entity FROM ce) e ON contains(g.norm, e.entity) UNION SELECT qid, entity FROM ({_entities_sql(f'{p}q', 'qid')}) o WHERE entity IN (SELECT entity FROM ce) AND qid IN (SELECT qid FROM {found})",
         ),
-        "gx": (
-            ("gb", "ce", "bhits", "chunks"),
-            """SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, br NULLS LAST, doc_ord, chunk_index) AS rank, chunk_id, least(score, 1.0) AS score FROM (
-  SELECT qid, chunk_id, sum(part) AS score, min(rank) AS br FROM (SELECT qid, chunk_id, score AS part, rank FROM bhits UNION ALL SELECT qid, chunk_id, boost, NULL FROM gb JOIN ce USING (entity)) u GROUP BY ALL) z JOIN chunks USING (chunk_id)""",
+        f"{p}b": (
+            (f"{p}m", "near", "ce", found),
+            f"""SELECT qid, entity, 0.18::DOUBLE AS boost FROM {p}m UNION ALL SELECT qid, dst, least(0.10, 0.025 * weight) FROM {p}m JOIN near ON src = entity AND n <= 6
+UNION ALL SELECT qid, dst, least(0.06, 0.015 * near.weight) FROM {found} JOIN ce USING (chunk_id) JOIN near ON src = entity AND n <= 4 WHERE rank <= 3""",
+        ),
+        f"{p}x": (
+            (f"{p}b", "ce", found, "chunks"),
+            f"""SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, br NULLS LAST, doc_ord, chunk_index) AS rank, chunk_id, least(score, 1.0) AS score FROM (
+  SELECT qid, chunk_id, sum(part) AS score, min(rank) AS br FROM (SELECT qid, chunk_id, score AS part, rank FROM {found} UNION ALL SELECT qid, chunk_id, boost, NULL FROM {p}b JOIN ce USING (entity)) u GROUP BY ALL) z JOIN chunks USING (chunk_id)""",
         ),
     }
-)
+
+
+S.CTES.update(_graph_chain("g", "bq", "bhits"))
 
 
 @query(S.statement("SELECT chunk_id, entity, weight FROM ce", "ce"))
@@ -343,13 +354,13 @@ a_tf AS MATERIALIZED (SELECT attack, example, total, term, count(*) AS tf FROM (
 r_idf AS MATERIALIZED (SELECT qid, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM (SELECT qid, term FROM r_tf UNION ALL SELECT qid, term FROM r_n, a_tf) u JOIN r_n USING (qid) GROUP BY qid, term, n)"""
 
 
-def _question_sql(final: str) -> str:
+def _question_sql(final: str, table: str = ALL_QUESTIONS, *needs: str) -> str:
     like = f"SELECT qid, 0 AS ord, text FROM qf WHERE rule IS NULL AND {S.instruction_like('text')}"
     best, ctes = _similar_sql(like)
     rules = S.first_reason("question", V.RULES)
     user = S.first_reason("question", V.USER_RULES)
-    base = S.statement("", "fq")
-    return f"""{base.rstrip()}, qf AS MATERIALIZED (SELECT qid, question AS text, mode, {user} AS usr, {rules} AS rule FROM {ALL_QUESTIONS} q), {ctes},
+    base = S.statement("", "fq", *needs)
+    return f"""{base.rstrip()}, qf AS MATERIALIZED (SELECT qid, question AS text, mode, {user} AS usr, {rules} AS rule FROM {table} q), {ctes},
 sim AS ({best}),
 found AS MATERIALIZED (SELECT qid, coalesce(usr, rule, CASE WHEN sim >= 0.34 THEN 'Semantically similar to prompt-injection behavior: ' || example END) AS reason, CASE WHEN usr IS NOT NULL THEN 0.98 WHEN rule IS NOT NULL THEN 0.96 ELSE round(sim, 3) END::DOUBLE AS score,
   CASE WHEN usr IS NOT NULL THEN 'user rule' WHEN rule IS NOT NULL THEN 'rule' ELSE 'local semantic' END AS detector FROM qf LEFT JOIN sim USING (qid))
@@ -361,12 +372,11 @@ def question_findings(spark, d):
     return guard.question_findings(all_questions(spark, d))
 
 
-@query(
-    _question_sql(
-        f"""SELECT q.qid, CASE WHEN reason IS NULL THEN false WHEN usr IS NOT NULL THEN true WHEN {S.question_intent('text')} THEN false
+_REFUSE = f"""SELECT q.qid, CASE WHEN reason IS NULL THEN false WHEN usr IS NOT NULL THEN true WHEN {S.question_intent('text')} THEN false
   ELSE len(list_filter({S.t3('text')}, lambda y: NOT list_contains({S.arr(V.CONTROL_TERMS)}, y))) <= 1 END AS refuse FROM qf q LEFT JOIN found USING (qid)"""
-    )
-)
+
+
+@query(_question_sql(_REFUSE))
 def refuse_user(spark, d):
     return guard.refuse(all_questions(spark, d))
 
@@ -580,11 +590,11 @@ def suggestions(spark, d):
     return corpus.suggestions(chunk_table(spark, d))
 
 
-@query("SELECT source || '/' || doc_id AS source FROM documents WHERE doc_id % 3 = 0 AND length(trim(text)) > 0 UNION SELECT 'missing.pdf' EXCEPT SELECT source || '/' || doc_id FROM documents WHERE doc_id % 2 = 0 AND length(trim(text)) > 0")
+@query(S.statement("SELECT source FROM (SELECT source FROM docs UNION SELECT 'missing.pdf' EXCEPT SELECT source FROM chunks) z", "docs", "chunks"))
 def index_freshness(spark, d):
-    docs = documents(spark, d).where("text <> ''")
-    uploads = docs.where("doc_ord % 3 = 0").select(F.col("source").alias("name")).union(spark.createDataFrame([("missing.pdf",)], "name string"))
-    return corpus.index_freshness(uploads, chunking.split_documents(docs.where("doc_ord % 2 = 0")))
+    """All documents, those without text among them, and one more name, against the index of all documents."""
+    uploads = documents(spark, d).select(F.col("source").alias("name")).union(spark.createDataFrame([("missing.pdf",)], "name string"))
+    return corpus.index_freshness(uploads, chunk_table(spark, d))
 
 
 S.CTES.update(
@@ -690,24 +700,110 @@ def compare_documents(spark, d):
     return pipeline.answer(pipeline.compare(questions(spark, d)), kb).select("qid", "answer", "score", "label", "should_refuse")
 
 
-@query()
+S.CTES.update(_graph_chain("rg", "brw", "rhits"))
+S.CTES.update({**S.search_chain("g_", "brw"), "g_hits": (("rgx", "chunks"), "SELECT qid, rank, c.*, score FROM rgx JOIN chunks c USING (chunk_id) WHERE rank <= 24")})
+S.CTES.update(S.answer_chain("g_", "g_sel", "bq"))
+
+
+@query(
+    S.statement(
+        f"SELECT qid, CASE WHEN should_refuse THEN {S.s(V.REFUSAL)} ELSE {S.highlight('answer')} END AS answer, score, label, should_refuse FROM ({S.trust_sql('g_', 'g_sel', 'g_ans', 'g_conf', 'none')}) t",
+        *("g_sel", "g_ans", "g_conf", "none"),
+    )
+)
 def graph_pipeline(spark, d):
     kb = pipeline.build(documents(spark, d))
     return pipeline.answer(questions(spark, d).withColumn("retrieval_mode", F.lit("Graph-Enhanced RAG")), kb, expand=True).select("qid", "answer", "score", "label", "should_refuse")
 
 
-@query()
+REPLY = "The limit is 30 days [1]."
+_rewrite_cte("hrw", "fq")
+S.CTES.update(S.search_chain("h_", "hrw"))
+S.CTES.update(
+    {
+        "ovw": (("chunks",), "SELECT row_number() OVER (ORDER BY f DESC, doc_ord, chunk_index)::INT AS rank, chunk_id, doc_ord, source, chunk_index, text, CASE WHEN f = 1 THEN 0.82 ELSE 0.72 END::DOUBLE AS score FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_ord, chunk_index) = 1)::INT AS f FROM chunks) z ORDER BY rank LIMIT 6"),
+        "h_ev": (
+            ("h_sel", "ovw", "fq"),
+            f"SELECT qid, rank, chunk_id, doc_ord, source, chunk_index, text, score FROM h_sel UNION ALL SELECT q.qid, o.rank, o.chunk_id, o.doc_ord, o.source, o.chunk_index, o.text, o.score FROM (SELECT qid FROM fq WHERE {S.overview_question('question')} AND qid NOT IN (SELECT qid FROM h_sel)) q, ovw o",
+        ),
+        "h_conf": S.answer_chain("h_", "h_ev", "fq")["h_conf"],
+        "h_ans": (
+            ("h_ev", "fq"),
+            f"""SELECT f.qid, question, CASE WHEN NOT {S.overview_question('question')} THEN {S.s(REPLY)} ELSE coalesce('The indexed ' || CASE WHEN n = 1 THEN 'document' ELSE 'documents' END || ' appear to be about these main topics:' || chr(10) || chr(10) || l || chr(10) || chr(10)
+  || 'This is an overview based on representative indexed chunks. Ask a more specific question for a more precise answer.', {S.s(V.NO_OVERVIEW)}) END AS answer
+FROM fq f LEFT JOIN (SELECT qid, count(DISTINCT source) AS n, string_agg('- **' || source || '**: ' || {S.shorten(_INFORMATIVE, 260)}, chr(10) ORDER BY rank) AS l FROM h_ev GROUP BY qid) z USING (qid)""",
+        ),
+    }
+)
+
+
+@query(
+    _question_sql(
+        f""", ref AS MATERIALIZED ({_REFUSE}), hinj AS MATERIALIZED (SELECT qid, 1 AS n FROM found WHERE reason IS NOT NULL)
+SELECT t.qid, CASE WHEN should_refuse THEN {S.s(V.REFUSAL)} ELSE {S.highlight('answer')} END AS answer, score, label, should_refuse, coalesce(w.n, 0)::INT AS n_warnings
+FROM ({S.trust_sql('h_', 'h_ev', 'h_ans', 'h_conf', 'hinj')}) t JOIN ref r ON r.qid = t.qid AND NOT refuse LEFT JOIN hinj w ON w.qid = t.qid
+UNION ALL SELECT qid, {S.s(V.INJECTION_REFUSAL)}, 0, 'Prompt injection blocked', true, 1 FROM ref WHERE refuse""",
+        "fq",
+        *("h_ev", "h_ans", "h_conf"),
+    )
+)
 def guarded_pipeline(spark, d):
     kb = pipeline.build(documents(spark, d), with_graph=False)
-    out = pipeline.answer(inline_questions(spark), kb, generator=providers.EchoGenerator("The limit is 30 days [1]."), judge=providers.EchoGenerator("{}"))
-    return out.select("qid", "answer", "score", "label", "should_refuse", F.size("warnings").alias("n_warnings"))
+    out = pipeline.answer(inline_questions(spark), kb, generator=providers.EchoGenerator(REPLY), judge=providers.EchoGenerator("{}"))
+    n = F.when(F.col("warnings").isNull(), 0).otherwise(F.size("warnings"))
+    return out.select("qid", "answer", "score", "label", "should_refuse", n.cast("int").alias("n_warnings"))
+
+
+class LetterEmbedder:
+    """A text's counts of the letters a to z: an embedder that SQL can follow."""
+
+    name, model = "letters", "counts"
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_counts = f"list_transform({S.arr(LETTERS)}, lambda l: (length(lower(x)) - length(replace(lower(x), l, '')))::DOUBLE)"
+_DENSE = f"""SELECT qid, rank, chunk_id, doc_ord, source, chunk_index, text, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
+  SELECT qid, c.*, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score FROM (SELECT qid, {_counts} AS v FROM (SELECT qid, question AS x FROM %s) a) q, (SELECT *, {_counts.replace('(x)', '(text)')} AS v FROM chunks) c) s WHERE score > 0) r WHERE rank <= %d"""
 
 
-@query()
+@query(S.statement(f"SELECT qid, rank, chunk_id, round(score, 6) AS score FROM ({_DENSE % ('bq', 6)}) z", "bq", "chunks"))
 def provider_index(spark, d):
     chunks = chunk_table(spark, d)
-    dense, _, _ = providers.build_index(chunks, providers.HashEmbedder())
-    return providers.search_dense_index(dense, chunks, questions(spark, d), providers.HashEmbedder(), 6).select("qid", "rank", "chunk_id", r6("score"))
+    dense, _, _ = providers.build_index(chunks, LetterEmbedder())
+    return providers.search_dense_index(dense, chunks, questions(spark, d), LetterEmbedder(), 6).select("qid", "rank", "chunk_id", r6("score"))
+
+
+S.CTES.update({**S.search_chain("d_", "brw"), "d_hits": (("brw", "chunks"), _DENSE % ("brw", 24))})
+S.CTES.update(S.answer_chain("d_", "d_sel", "bq"))
+
+
+@query(
+    S.statement(
+        f"SELECT qid, CASE WHEN should_refuse THEN {S.s(V.REFUSAL)} ELSE {S.highlight('answer')} END AS answer, score, label, should_refuse FROM ({S.trust_sql('d_', 'd_sel', 'd_ans', 'd_conf', 'none')}) t",
+        *("d_sel", "d_ans", "d_conf", "none"),
+    )
+)
+def dense_pipeline(spark, d):
+    """The whole way over an index of embeddings."""
+    kb = pipeline.build(documents(spark, d), with_graph=False, embedder=LetterEmbedder())
+    return pipeline.answer(questions(spark, d), kb).select("qid", "answer", "score", "label", "should_refuse")
+
+
+def _likeness_sql(questions: str) -> str:
+    lit = lambda t: f"(list_transform([{S.s(t)}], lambda x: {_counts}))[1]"
+    attacks = ", ".join(f"({i}, {S.s(a)}, {lit(a)})" for i, a in enumerate(V.ATTACKS))
+    return f"""SELECT qid, 0 AS ord, sim, example FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, i) AS n FROM (SELECT qid, i, example, list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))) AS sim
+FROM (SELECT qid, {_counts} AS v FROM (SELECT qid, question AS x FROM {questions}) y) q, (VALUES {attacks}) AS a(i, example, w)) z) u WHERE n = 1"""
+
+
+@query(S.statement(f"SELECT qid, round(sim, 6) AS sim, example FROM ({_likeness_sql(ALL_QUESTIONS)}) z", "fq"))
+def embedded_likeness(spark, d):
+    """Each question's likeness to the example attacks, by embeddings."""
+    q = all_questions(spark, d).select("qid", F.lit(0).alias("ord"), F.col("question").alias("text"))
+    return providers.embedded_similarity(q, LetterEmbedder()).select("qid", r6("sim"), "example")
 
 
 @query(S.statement(f"SELECT qid, rank AS number, source, 'Chunk ' || (chunk_index + 1) AS location, round(score, 2) AS relevance, {S.excerpt('text')} AS excerpt FROM bsel", "bsel"))

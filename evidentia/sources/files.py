@@ -8,14 +8,18 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import fixed_values as V
 from evidentia.functions import text as T
+from evidentia.functions.tables import materialize, small_side
 
-DOCUMENT = "source string, page int, text string"
+#: Pages of one file that its place leaves room for.
+PAGES = 1 << 20
+#: Files whose places are broadcast at most; those of more files are joined.
+SMALL_SIDE = 200_000
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -49,29 +53,49 @@ def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 def load(files: DataFrame, unsupported: str = "raise") -> DataFrame:
     """files: path, content. Documents in path order; pages of a file in page order.
 
-    Files of other formats raise, or are left out with unsupported="skip" (see quarantine()).
+    Each file is read once, by one function that goes by its extension. Files of other formats raise, or are left out with
+    unsupported="skip" (see quarantine()).
     """
-    f = files.select(file_name(F.col("path")).alias("source"), extension(F.col("path")).alias("ext"), "path", "content")
-    if unsupported == "raise":
-        bad = F.concat(F.lit("Unsupported file type: ."), F.col("ext"))
-        f = f.withColumn("ext", F.when(F.col("ext").isin(V.EXTENSIONS), F.col("ext")).otherwise(F.raise_error(bad).cast("string")))
-    plain = f.where(F.col("ext").isin("md", "txt")).select("path", "source", F.lit(None).cast("int").alias("page"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    pages = f.where("ext = 'pdf'").select("path", "source", "content").mapInPandas(_pdf_pages, "path string, " + DOCUMENT)
-    word = f.where("ext = 'docx'").select("path", "source", "content").mapInPandas(_docx, "path string, " + DOCUMENT)
-    parts = [plain, pages, word]
-    if unsupported == "raise":  # a branch that reads every row, so that an unsupported file is met
-        parts.append(f.where(~F.col("ext").isin(V.EXTENSIONS)).select("path", "source", F.lit(None).cast("int").alias("page"), F.lit("").alias("text")))
-    docs = parts[0]
-    for p in parts[1:]:
-        docs = docs.unionByName(p)
-    # the order of documents: a hash-free ordinal from the path, so no global sort is needed
-    docs = docs.withColumn("text", T.clean_text(F.col("text")))
-    return docs.select(order_of(F.col("path"), F.col("page")).alias("doc_ord"), "source", "page", "text")
-
-
-def order_of(path: Column, page: Column) -> Column:
-    """An ordinal of a file's pages: files by hash of the path, the pages of a file in order (up to 2^20)."""
-    return F.shiftright(F.xxhash64(path), 21) * F.lit(1 << 20) + F.coalesce(page, F.lit(0)).cast("long")
+    skip = unsupported != "raise"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                rows = parse(path, content.as_py() or b"", skip)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())], ["path", "page", "text"])
+
+    parsed = files.select("path", "content").mapInArrow(run, "path string, page int, text string")
+    places = small_side(path_order(files), SMALL_SIDE)
+    docs = parsed.join(places, "path").withColumn("text", T.clean_text(F.col("text")))
+    return docs.select((F.col("place") * F.lit(PAGES) + F.coalesce("page", F.lit(0))).alias("doc_ord"), file_name(F.col("path")).alias("source"), "page", "text")
+
+
+def parse(path: str, content: bytes, skip: bool = False) -> list[tuple[int | None, str]]:
+    """(page, text) of each part of a file."""
+    ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if ext in ("md", "txt"):
+        return [(None, content.decode("utf-8", "replace"))]
+    if ext == "pdf":
+        return pdf_pages(content)
+    if ext == "docx":
+        return [(None, docx_text(content))]
+    if skip:
+        return []
+    raise ValueError(f"Unsupported file type: .{ext}")
+
+
+def path_order(files: DataFrame) -> DataFrame:
+    """path, place: distinct paths numbered from 0 in their order. Sorted by ranges; the driver adds up one count for each range."""
+    ranged = files.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path").withColumn("id", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "paths")  # the id is the range's number above 33 bits of the place in it
+    part = F.shiftright("id", 33)
+    sizes = sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each range
+    before, offsets = 0, []
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    offsets = F.broadcast(files.sparkSession.createDataFrame(offsets, "part long, before long"))
+    return ranged.withColumn("part", part).join(offsets, "part").select("path", (F.col("before") + F.col("id") - F.shiftleft("part", 33)).alias("place"))
 
 
 def quarantine(files: DataFrame) -> DataFrame:
@@ -79,23 +103,12 @@ def quarantine(files: DataFrame) -> DataFrame:
     return files.select("path", extension(F.col("path")).alias("ext")).where(~F.col("ext").isin(V.EXTENSIONS))
 
 
-def _pdf_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for path, source, content in b.itertuples(index=False):
-            try:
-                from pypdf import PdfReader
-            except ImportError as e:
-                raise RuntimeError("PDF files need the pypdf package") from e
-            for number, page in enumerate(PdfReader(io.BytesIO(content)).pages, start=1):
-                rows.append((path, source, number, page.extract_text() or ""))
-        yield pd.DataFrame(rows, columns=["path", "source", "page", "text"]).astype({"page": "Int32"})
-
-
-def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(path, source, None, docx_text(bytes(content))) for path, source, content in b.itertuples(index=False)]
-        yield pd.DataFrame(rows, columns=["path", "source", "page", "text"]).astype({"page": "Int32"})
+def pdf_pages(content: bytes) -> list[tuple[int, str]]:
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("PDF files need the pypdf package") from e
+    return [(number, page.extract_text() or "") for number, page in enumerate(PdfReader(io.BytesIO(content)).pages, start=1)]
 
 
 def _clean(text: str) -> str:

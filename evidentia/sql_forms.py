@@ -450,7 +450,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT substr(sha1(source || ':None:' || chunk_index || ':' || left(text, 80)), 1, 16) AS chunk_id, doc_ord, source, chunk_index, text FROM (
   SELECT doc_ord, source, unnest(m) AS text, generate_subscripts(m, 1)::INT - 1 AS chunk_index FROM (SELECT doc_ord, source, {_merge('parts')} AS m FROM parts) z) y""",
     ),
-    "bq": ((), "SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:12], ' ') AS question, CASE item_id % 7 WHEN 0 THEN 'Simple Answer' WHEN 1 THEN 'Detailed Explanation' WHEN 2 THEN 'Bullet Summary' WHEN 3 THEN 'Action Items' WHEN 4 THEN 'Email Draft' WHEN 5 THEN 'Study Notes' ELSE 'Interview Prep' END AS mode FROM benchmark"),
+    "bq": ((), "SELECT item_id AS qid, text AS question, CASE item_id % 7 WHEN 0 THEN 'Simple Answer' WHEN 1 THEN 'Detailed Explanation' WHEN 2 THEN 'Bullet Summary' WHEN 3 THEN 'Action Items' WHEN 4 THEN 'Email Draft' WHEN 5 THEN 'Study Notes' ELSE 'Interview Prep' END AS mode FROM benchmark"),
     "postings": (("chunks",), f"SELECT chunk_id, doc_ord, chunk_index, term, count(*) AS tf, any_value(total) AS total FROM (SELECT chunk_id, doc_ord, chunk_index, len(l) AS total, unnest(l) AS term FROM (SELECT *, {t1('text')} AS l FROM chunks) z) y GROUP BY ALL"),
     "idf": (("postings", "chunks"), "SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM chunks)) / (1 + count(*))) + 1 AS idf FROM postings GROUP BY term"),
     "norms": (("postings", "idf"), "SELECT chunk_id, sqrt(sum((tf / total * idf) ** 2)) AS norm FROM postings JOIN idf USING (term) GROUP BY chunk_id"),

@@ -20,7 +20,7 @@ def append_postings(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     def batch(df: DataFrame, epoch: int) -> None:
         chunks = chunking.split_documents(df).persist()
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={epoch}")
-        retrieval.build_index(chunks).postings.write.mode("overwrite").parquet(f"{out}/postings/batch={epoch}")
+        retrieval.term_table(chunks).write.mode("overwrite").parquet(f"{out}/postings/batch={epoch}")
         chunks.unpersist()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -105,6 +105,28 @@ def test_hard_split_overlaps(spark):
     assert [len(x) for x in r] == [900, 900, 480]
 
 
+def test_windows_agree_with_the_column_form(spark):
+    for text in ("x" * 2000, "a b\u2003c " * 700, "", " \n ", "y" * 901, "é" * 900):
+        assert one(spark, text, chunking.hard_split)[0] == chunking.windows(text, 900, 140)
+
+
+def test_headings_that_span_lines_begin_a_section():
+    assert chunking.sections("intro\n\n#\nTitle\nbody\n12\nHello there\nend") == ["intro", "#\nTitle\nbody", "12\nHello there\nend"]
+
+
+def test_chunking_is_linear():
+    import time
+
+    def took(n):
+        text = "A sentence of some words stands here. " * n
+        begin = time.process_time()
+        assert max(map(len, chunking.chunk_text(text))) <= 900
+        return time.process_time() - begin
+
+    took(1000)
+    assert took(80_000) < 20 * max(took(8_000), 0.01)  # three million characters
+
+
 def test_structure_merge_and_ids(spark):
     rows = chunking.split_documents(docs(spark, [("a.md", None, REFUND), ("p.pdf", 1, "one"), ("p.pdf", 2, "two"), ("e.md", None, "")])).orderBy("doc_ord", "chunk_index").collect()
     assert [(r.source, r.page, r.chunk_index) for r in rows] == [("a.md", None, 0), ("p.pdf", 1, 0), ("p.pdf", 2, 0)]
@@ -115,17 +137,17 @@ def test_structure_merge_and_ids(spark):
         assert r.chunk_id == hashlib.sha1(f"{r.source}:{r.page}:{r.chunk_index}:{r.text[:80]}".encode()).hexdigest()[:16]
 
 
-def test_packing_keeps_an_overlap(spark):
+def test_packing_keeps_an_overlap():
     sentences = [f"{k:03d} " + "w" * 116 + "." for k in range(30)]  # 121 characters each
-    r = one(spark, " ".join(sentences), chunking.chunk_texts)[0]
+    r = chunking.chunk_text(" ".join(sentences))
     assert all(len(x) <= 900 for x in r)
     parts = [x.split("\n\n") for x in r]
     assert all(b[0] == a[-1] for a, b in zip(parts, parts[1:]))  # one unit of 121 characters fits the overlap
     assert list(dict.fromkeys(s for p in parts for s in p)) == sentences
 
 
-def test_oversize_sentence_is_cut_alone(spark):
-    r = one(spark, "Short one. " + "y" * 1000 + ". Last one.", chunking.chunk_texts)[0]
+def test_oversize_sentence_is_cut_alone():
+    r = chunking.chunk_text("Short one. " + "y" * 1000 + ". Last one.")
     # the short first chunk can't take the full window, and the rest of the long sentence stands before the last one
     assert [len(x) for x in r[:2]] == [10, 900] and r[-1].endswith("Last one.")
 
