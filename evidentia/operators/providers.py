@@ -211,7 +211,7 @@ def guard_likeness(embedder: Embedder) -> guard.Likeness:
             found = materialize(embedded_similarity(records, embedder), "guard-embeddings")
         except Exception:
             return guard.by_terms(records)
-        return found.where(F.col("sim") >= V.EMBEDDING_THRESHOLD).withColumn("detector", F.lit(embedder.name))
+        return found.where(F.col("sim") >= V.EMBEDDING_THRESHOLD).withColumn("detector", F.lit(getattr(embedder, "detector", embedder.name)))
 
     return likeness
 
