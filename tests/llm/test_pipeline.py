@@ -55,6 +55,19 @@ def test_stages(spark):
     assert all(len(s) == 1 for s in home.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named as those that the operators use inside pass through every stage."""
+    from pyspark.sql import functions as F
+
+    odd = ["_file", "_at", "fp", "h1", "root", "shard", "copies", "_metadata", "_row", "n_hit"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in odd])
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == odd and docs.where(" AND ".join(f"`{c}` = concat('{c} ', doc_id)" for c in odd)).count() == docs.count() > 0, name
+    last = P.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"] and last.count() == docs.count()
+
+
 def test_run_and_empty(spark, tmp_path):
     assert P.run(spark, SF).count() > 100
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
