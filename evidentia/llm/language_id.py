@@ -8,8 +8,8 @@ Model: Nystroem landmarks and one-versus-rest kernel ridge regression. With land
 matrix C, the coefficients solve (C'C + lambda n W) A = C'Y. Scoring a batch is one matrix product for the kernel
 values and one for the class scores.
 
-Fit: the cover of a word is the share of its 3-grams, by position, that the landmarks hold, and the cover of a text the median of its
-words', so that a key or a name spoils no short text. A text of fewer than three characters goes by its longest n-grams.
+Fit: the cover of a word (what stands between white space) is the share of its 3-grams, by position, that the landmarks hold, and the cover of
+a text the median of its words', so that a key or a name, however many letters and digits it mixes, spoils no short text. A text of fewer than three characters goes by its longest n-grams.
 A language's cut is COVER of the cover that all but 1 % of its training rows reach, each landmark measured against the others. A text
 under the cut of its best language fits none of them: its score is brought below MIN_SCORE, down to 0 for a text without a known n-gram.
 
@@ -57,19 +57,30 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, non-letters collapsed to one space and 0 between texts; the text of each; letters in each."""
+_spaces: list[np.ndarray] = []
+
+
+def spaces() -> np.ndarray:
+    """Whether each code point ends a word: white space, and 0."""
+    if not _spaces:
+        _spaces.append(np.fromiter((c == 0 or chr(c).isspace() for c in range(0x110000)), bool, 0x110000))
+    return _spaces[0]
+
+
+def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, non-letters collapsed to one space and 0 between texts; the text of each; letters in each text; the word of each."""
     lower = [t.lower() for t in texts]
     codes = np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lower])
     letter = letters()[codes]
     n_letters = np.bincount(owner[letter], minlength=len(texts))
     ends = np.cumsum([len(t) + 1 for t in lower]) - 1
+    word = np.cumsum(spaces()[codes])
     codes = np.where(letter, codes, np.uint32(32))
     codes[ends] = 0
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-    return codes[keep], owner[keep], n_letters
+    return codes[keep], owner[keep], n_letters, word[keep]
 
 
 def buckets(codes: np.ndarray) -> list[np.ndarray]:
@@ -91,7 +102,7 @@ def buckets(codes: np.ndarray) -> list[np.ndarray]:
 
 def presence(texts: list[str], table: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """[text, column] presence of the columns' n-grams, the letters in each text, and its cover. Column 0 is for n-grams outside."""
-    codes, owner, n_letters = encode(texts)
+    codes, owner, n_letters, word = encode(texts)
     seen = np.zeros((len(texts), width), bool)
     flat = seen.reshape(-1)
     cover = np.zeros(len(texts))
@@ -102,7 +113,6 @@ def presence(texts: list[str], table: np.ndarray, width: int) -> tuple[np.ndarra
         known = np.bincount(owner[: len(b)][column > 0], minlength=len(texts))
         cover = np.where(whole > 0, known / np.maximum(whole, 1), cover)
     seen[:, 0] = False
-    word = np.cumsum((codes == 32) | (codes == 0))
     at = np.flatnonzero((b > 0) & (codes[1 : len(b) + 1] != 32))  # an n-gram belongs to the word of its second character
     if len(at):
         first = np.flatnonzero(np.concatenate([[True], np.diff(word[at + 1]) != 0]))
