@@ -156,8 +156,15 @@ _MAY = {
     "ip": (":",),
     "card": ("",),
     "phone": ("",),
-    "name": ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "ame", "ontact", "uthor", "igned", "egards", "incerely", "om"),
-    "secret": ("oken", "TOKEN", "ecret", "SECRET", "assw", "PASSW", "pi", "API", "pwd", "earer", "AKIA", "ASIA", "AIza", "gh", "glpat", "xox", "sk_", "eyJ"),
+    "name": ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", *(f"{cue}{end}" for cue in ("ame", "ontact", "uthor", "igned", "egards", "incerely", "om", "ombre") for end in (":", ",", " is"))),
+    "secret": ("oken", "TOKEN", "ecret", "SECRET", "assw", "PASSW", "api", "Api", "API", "pwd", "earer", "AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "xox", "sk_live", "eyJ"),
+}
+#: What every candidate of the kind holds; these patterns begin with a set of characters, so they are looked for much faster.
+_HOLDS = {
+    "email": re.compile(r"[(\[\s]at[)\]\s]\s?[A-Za-z0-9-]{1,63}\s?(?:[(\[]dot[)\]]|\sdot\s|\.)\s?[A-Za-z0-9-]{2}"),
+    "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"),
+    "card": re.compile(r"[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{4}"),
+    "phone": re.compile(r"[0-9]{2}\)?[ .-][0-9]{2,4}[ .-][0-9]{3}"),
 }
 _word = re.compile(r"[^\W\d_]+")
 _date = re.compile(r"\(?(?:[0-3]?[0-9][ .-][0-3]?[0-9][ .-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ .-].*)")
@@ -179,6 +186,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     for kind, loose in _LOOSE.items():
         if kind in ("card", "phone") and not digits or not any(x in text for x in _MAY[kind]):
             continue
+        if kind in _HOLDS and not _HOLDS[kind].search(text):
+            continue
         for m in loose.finditer(text):
             if kind == "card" and not (13 <= len(d := _not_digit.sub("", m[0])) <= 19 and luhn(d)):
                 continue
