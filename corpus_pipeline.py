@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontamination, language_id, mixing, sharding, simhash
-from evidentia.llm.common import materialize
+from evidentia.llm.common import discard, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # the stage before this one; the input is not a table of ours
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
