@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the small tables, order aside."""
 
+import functools
 import os
 
 import duckdb
@@ -18,6 +19,15 @@ def sql():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def built_once():
+    """The written tables that most queries begin with are made once for all of them."""
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("chunk_table", "hits", "selected"):
+            m.setattr(queries, name, functools.cache(getattr(queries, name)))
+        yield
+
+
 def norm(v):
     if isinstance(v, float):
         return round(v, 5)
