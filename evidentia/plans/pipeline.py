@@ -30,7 +30,7 @@ def build(docs: DataFrame, settings: Settings = Settings(), with_graph: bool = T
 
     With an embedder the index is dense; if it fails, the index is TF-IDF, and fallback_reason says why.
     """
-    chunks = materialize(chunking.split_documents(docs, settings.chunk_size, settings.chunk_overlap), "chunks")
+    chunks = materialize(chunking.split_documents(docs, settings.chunk_size, settings.chunk_overlap), "chunks", compact=True)
     index, backend, why = providers.build_index(chunks, embedder)
     return KnowledgeBase(docs, chunks, index, graph.build_graph(chunks, write=True) if with_graph else None, backend, why, embedder if embedder is not None and why is None else None)
 

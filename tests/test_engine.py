@@ -3,11 +3,15 @@
 import io
 import math
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia import queries as registered
+from evidentia.functions import tables
 from evidentia.functions import text as T
+from evidentia.functions.tables import materialize
 from evidentia.operators import chunking, corpus, evidence, graph, guard, providers, retrieval
 from evidentia.plans import pipeline
 from evidentia.sources import files
@@ -525,3 +529,47 @@ def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError):
         tables.shared_dir(cluster)
     assert tables.shared_dir(N(conf=N(get=lambda key, default: "hdfs://x/y/"), sparkContext=cluster.sparkContext)) == "hdfs://x/y"
+
+
+def _small_base(spark):
+    d = "/root/testdata/sf0.001"
+    return materialize(chunking.split_documents(registered.documents(spark, d)), "chunks"), registered.questions(spark, d)
+
+
+def test_index_and_graph_write_less_than_the_chunks(spark, tmp_path, monkeypatch):
+    """Postings and edges are several times the chunks, so they are not written."""
+    chunks, _ = _small_base(spark)
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}/all")
+    whole = materialize(chunks, "chunks")
+    kept = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    retrieval.build_index(whole, write=True)
+    graph.build_graph(whole, write=True)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 3 * kept
+
+
+def test_search_is_exact_whatever_is_broadcast(spark, monkeypatch):
+    """With few terms in the head most norms are bounded first, and a candidate's is made exact after; against cosines in plain Python."""
+    chunks, q = _small_base(spark)
+    q = q.where("qid < 5")
+    terms = {}
+    for r in retrieval.term_table(chunks).collect():
+        terms.setdefault((r.doc_ord, r.chunk_index), {})[r.term] = r.tf / r.total
+    n, df = chunks.count(), Counter(t for v in terms.values() for t in v)
+    idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
+    norm = {c: math.sqrt(sum((w * idf[t]) ** 2 for t, w in v.items())) for c, v in terms.items()}
+    want = {}
+    asked = q.select("qid", F.lit(0).alias("doc_ord"), F.lit(0).alias("chunk_index"), F.lit("q").alias("chunk_id"), F.col("question").alias("text"))
+    for r in asked.collect():
+        rows = retrieval.term_table(asked.where(F.col("qid") == r.qid)).where(F.col("term").isin(list(idf))).collect()
+        total = sum(x.tf for x in rows)
+        v = {x.term: x.tf / total * idf[x.term] for x in rows}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        score = {c: sum(x * w.get(t, 0) * idf[t] for t, x in v.items()) / (size * norm[c]) for c, w in terms.items()}
+        best = sorted((-round(s, 9), c) for c, s in score.items() if s > 0)[:24]
+        want[r.qid] = [(i + 1, c, round(-s, 6)) for i, (s, c) in enumerate(best)]
+    for head in (0, 300, 1 << 20):
+        monkeypatch.setattr(retrieval, "HEAD_TERMS", head)
+        got = {}
+        for r in retrieval.search(retrieval.build_index(chunks, write=True), q, 24).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.rank, (r.doc_ord, r.chunk_index), round(r.score, 6)))
+        assert got == want
