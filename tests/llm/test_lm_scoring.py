@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from evidentia.llm import lm_scoring
 
@@ -177,3 +178,66 @@ def test_weights_come_from_every_training_text(spark):
     fixed = spark.sparkContext.broadcast((m.grid, m.mass, m.tables, m.memory))
     got = lm_scoring.train_weights(spark.createDataFrame([(t,) for t in texts], "text string"), m.grid.levels, fixed, rounds=1)
     assert all(np.allclose(a, b) for a, b in zip(got.tables, want.tables)) and np.allclose(got.recall, want.recall)
+
+
+def recalled_by_plain_loops(rows, levels):
+    """For each text, what the features of each token recall: the followers of the three features, then their counts."""
+    followers = {}
+    for i, t in rows:
+        h, size = lm_scoring.tokens([(t or "").encode()])
+        if zlib.crc32(str(i).encode()) % 10:
+            for feat in lm_scoring.context(h, size):
+                for x, leaf in zip(feat.tolist(), lm_scoring.leaves(h, levels).tolist()):
+                    followers.setdefault(x >> 16, Counter())[leaf] += 1
+    out = {}
+    for i, t in rows:
+        h, size = lm_scoring.tokens([(t or "").encode()])
+        best = [[max(((n, leaf) for leaf, n in followers.get(x >> 16, {0: 0}).items())) for x in feat.tolist()] for feat in lm_scoring.context(h, size)]
+        out[i] = [[leaf for _, leaf in f] for f in best] + [[n for n, _ in f] for f in best]
+    return out
+
+
+def test_every_context_of_the_training_texts_is_remembered(spark, monkeypatch):
+    """Far-apart texts, several blocks and ranges, sums taken a few rows at a time."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lm_scoring, "RANGE_TOKENS", 500)
+    monkeypatch.setattr(lm_scoring, "MERGE_ROWS", 100)
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice(["the", "of", f"w{r.randrange(40)}", f"v{r.randrange(10**6)}"]) for _ in range(r.randrange(0, 60)))) for k in range(200)]
+    rows += [(k + 200, t) for k, t in rows[:30]] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 3)
+    blocks = lm_scoring.blocks_of(docs)
+    answers = lm_scoring.remember(blocks, 4, 6000)
+    texts, answers, want = blocks.toArrow(), answers.toArrow(), recalled_by_plain_loops(rows, 4)
+    ids, got = set(texts.column("block").to_pylist()), {}
+    of = lambda t, x: t.filter(pa.array([b == x for b in t.column("block").to_pylist()]))
+    for x in ids:
+        for b, h, size, recalled in lm_scoring.recall(of(texts, x), of(answers, x), 4):
+            cut = np.append(0, np.cumsum(size))
+            got |= {i: recalled[:, cut[k] : cut[k + 1]].tolist() for k, i in enumerate(b.column("doc_id").to_pylist())}
+    assert got == want and len(ids) > 5 and set(answers.column("block").to_pylist()) == ids
+
+
+def test_blocks_in_parts_send_what_whole_ones_do():
+    """Rows of two blocks that come in turns: the sums and the answers are those of rows in order."""
+    texts = [" ".join(f"w{(k * 7 + i * i) % 23}" for i in range(20)) for k in range(40)]
+    made = []
+    for order in (range(40), [*range(0, 40, 2), *range(1, 40, 2)]):
+        rows = [(2 * (k // 20), texts[k]) for k in order]
+        batches = [pa.record_batch({"block": pa.array([b for b, _ in rows[i : i + 5]]), "text": [t for _, t in rows[i : i + 5]]}) for i in range(0, 40, 5)]
+        sent = pa.Table.from_batches(lm_scoring._count_blocks(iter(batches), 4, 2))
+        made.append(sorted(repr(r) for x in (0, 1) for r in lm_scoring._range_answers(sent.filter(pa.array([y == x for y in sent.column("range").to_pylist()]))).to_pylist()))
+    assert made[0] == made[1]
+
+
+def test_a_follower_is_remembered_however_many_contexts_there_are():
+    """More contexts than 2^21 slots hold: all of them are told apart, in training texts that occur once."""
+    n = 3_000_000
+    h = lm_scoring.mix64(np.arange(n, dtype=np.uint64))
+    leaf = lm_scoring.leaves(h, 4)
+    feat = lm_scoring.context(h, np.array([n]))[2]
+    e = np.sort((feat & ~lm_scoring._LEAF) | leaf.astype(np.uint64))
+    key, after, count = lm_scoring.most_frequent(e, np.ones(n, np.int64))
+    at = np.searchsorted(key, feat & ~lm_scoring._LEAF)
+    assert (key[at] == feat & ~lm_scoring._LEAF).all() and (after[at] == leaf).mean() > 0.999 and len(count) > 0.999 * n
