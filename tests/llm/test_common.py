@@ -39,3 +39,35 @@ def test_the_owner_of_the_session_sets_the_batches(spark):
     own.conf.set(key, "77")
     common.for_texts(own)
     assert own.conf.get(key) == "77" and own.conf.get("spark.sql.parquet.columnarReaderBatchSize") == common.BATCHES["spark.sql.parquet.columnarReaderBatchSize"]
+
+
+def test_word_hashes_by_plain_loops():
+    """Eight bytes after eight, from the word's length; over 64 bytes XXH64."""
+    import random
+
+    import numpy as np
+    import xxhash
+
+    from evidentia.functions import hashes
+
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * int(hashes._M2)) & mask
+        x = ((x ^ (x >> 27)) * int(hashes._M3)) & mask
+        return x ^ (x >> 31)
+
+    def plain(w):
+        if len(w) > 64:
+            return xxhash.xxh64_intdigest(w, 1)
+        h = len(w) * int(hashes._M1) & mask
+        for i in range(0, len(w), 8):
+            h = mix(((h ^ int.from_bytes(w[i : i + 8], "little")) + int(hashes._M1)) & mask)
+        return h
+
+    r = random.Random(1)
+    words = [bytes(r.choice(b"abz\xc3\xa9-09") for _ in range(n)) for n in [*range(1, 70), 200, *[r.randrange(1, 20) for _ in range(300)]]]
+    r.shuffle(words)
+    start, end, doc, buf = hashes.words_of([b" ".join(words[:100]), b"", b" ".join(words[100:])], bytes(range(256)))
+    assert hashes.word_hashes(start, end, buf).tolist() == [plain(w) for w in words] and set(doc.tolist()) == {0, 2}
+    assert len(hashes.word_hashes(np.zeros(0, np.int64), np.zeros(0, np.int64), b" ")) == 0

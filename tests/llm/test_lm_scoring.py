@@ -241,3 +241,59 @@ def test_a_follower_is_remembered_however_many_contexts_there_are():
     key, after, count = lm_scoring.most_frequent(e, np.ones(n, np.int64))
     at = np.searchsorted(key, feat & ~lm_scoring._LEAF)
     assert (key[at] == feat & ~lm_scoring._LEAF).all() and (after[at] == leaf).mean() > 0.999 and len(count) > 0.999 * n
+
+
+def test_no_feature_of_a_block_or_range_is_sorted_by_places(monkeypatch):
+    """Sorting places takes many times as long as sorting numbers; all but a few hashes are sorted as numbers."""
+    plain, longest = np.argsort, [0]
+
+    def argsort(x, *a, **kw):
+        longest[0] = max(longest[0], len(x))
+        return plain(x, *a, **kw)
+
+    monkeypatch.setattr(np, "argsort", argsort)
+    r = random.Random(7)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(50)) for _ in range(100)]
+    docs = pa.table({"block": pa.array([0] * 100, pa.int64()), "text": texts})
+    sent = pa.Table.from_batches(lm_scoring._count_blocks(iter(docs.to_batches()), 4, 2))
+    answers = pa.concat_tables(lm_scoring._range_answers(sent.filter(pa.array([y == x for y in sent.column("range").to_pylist()]))) for x in (0, 1))
+    got = np.concatenate([x for *_, x in lm_scoring.recall(docs, answers, 4)], axis=1)
+    want = recalled_by_plain_loops([(k, t) for k, t in zip([i for i in range(1000) if zlib.crc32(str(i).encode()) % 10], texts)], 4)
+    assert got.tolist() == [sum(x, []) for x in zip(*want.values())]
+    assert longest[0] < 100
+
+
+def test_order_of_hashes_that_differ_in_their_last_bits_only():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        for mask in (2**64 - 1, 0xFF, 0xFF00000000FF, 0xFF << 56):
+            e = r.integers(0, 2**64, n, np.uint64) & np.uint64(mask)
+            assert (lm_scoring.order_of(e) == np.argsort(e, kind="stable")).all()
+
+
+def test_sums_of_small_and_large_counts():
+    r = random.Random(8)
+    parts = [sorted(r.sample(range(200), 60)) for _ in range(6)]
+    counts = [[r.choice([1, 1, 2, 7, 8, 9, 10**6]) for _ in p] for p in parts]
+    want = Counter()
+    for p, c in zip(parts, counts):
+        want.update(dict(zip(p, c)))
+    u, n = lm_scoring._sum_counts([np.array(p, np.uint64) for p in parts], [np.array(c) for c in counts])
+    assert list(zip(u.tolist(), n.tolist())) == sorted(want.items())
+    assert all(len(x) == 0 for x in lm_scoring._sum_counts([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]))
+
+
+def test_numbers_come_back_from_planes():
+    for kind in (np.uint16, np.uint32, np.uint64):
+        for x in ([], [0, 0], [1, 255, 256], [np.iinfo(kind).max, 0, 65535]):
+            x = np.array(x, kind)
+            got = lm_scoring.unsqueeze(lm_scoring.squeeze(x), len(x), kind)
+            assert got.dtype == x.dtype and (got == x).all()
+
+
+def test_logits_out_of_range_of_floats():
+    z = np.array([[0.5, 1, -2], [300, 299, 0], [-400, -401, -500], [80, 80, 80]], np.float32)
+    e, total, _ = lm_scoring.exps(z)
+    want = np.exp(z.astype(float) - z.max(axis=1)[:, None])
+    assert np.allclose(e / total[:, None], want / want.sum(axis=1)[:, None], atol=1e-6)
+    assert np.allclose(lm_scoring.log_sum(z), np.log(want.sum(axis=1)) + z.max(axis=1), rtol=1e-6)
