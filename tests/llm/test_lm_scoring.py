@@ -268,7 +268,17 @@ def test_order_of_hashes_that_differ_in_their_last_bits_only():
     for n in (0, 1, 2, 1000):
         for mask in (2**64 - 1, 0xFF, 0xFF00000000FF, 0xFF << 56):
             e = r.integers(0, 2**64, n, np.uint64) & np.uint64(mask)
-            assert (lm_scoring.order_of(e) == np.argsort(e, kind="stable")).all()
+            order, ordered = lm_scoring.in_order(e)
+            assert (order == np.argsort(e, kind="stable")).all() and (ordered == np.sort(e)).all()
+
+
+def test_scores_are_the_same_without_the_strengths():
+    m, h, size = small_model()
+    m.weights.update(m.gradient(h, size))
+    r = np.random.default_rng(3)
+    recalled = np.concatenate([r.integers(0, 256, (3, len(h))), r.integers(0, 4, (3, len(h)))]).astype(np.uint16)
+    made = [np.concatenate([z for *_, z, _, _ in m._parts(h, size, 0, recalled, x)]) for x in (True, False)]
+    assert np.allclose(*made, atol=1e-5)
 
 
 def test_sums_of_small_and_large_counts():
